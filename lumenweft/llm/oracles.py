@@ -24,8 +24,8 @@ def license_scan() -> str:
     w as (select rid, doc_id, regexp_extract_all(low, '{WORDS}') ws, string_split(low, chr(10)) lines from d),
     lines as (select rid, list_distinct(regexp_extract_all(line, '{WORDS}')) s from (select rid, unnest(lines) line from w)),
     hits as (select rid, label, max(len(list_intersect(s, words)) / len(words)::double) score from lines, t where len(list_intersect(s, words)) >= need group by rid, label),
-    places as (select rid, label, i - 1 at from (select rid, ws, unnest(range(1, len(ws) + 1)) i from w), p where ws[i] = words[1] and ws[i : i + len(words) - 1] = words),
-    b as (select rid, count(*) n, min(at) lo, max(at) hi, string_agg(distinct label, ',' order by label) labels from places group by rid),
+    places as (select rid, label, i - 1 pos from (select rid, ws, unnest(range(1, len(ws) + 1)) i from w), p where ws[i] = words[1] and ws[i : i + len(words) - 1] = words),
+    b as (select rid, count(*) n, min(pos) lo, max(pos) hi, string_agg(distinct label, ',' order by label) labels from places group by rid),
     a as (select rid, string_agg(distinct label, ',' order by label) labels from (select rid, label from hits union all select rid, label from places) group by rid),
     s as (select rid, max(score) score from hits group by rid)
     select w.doc_id, len(ws)::bigint n_words, coalesce(b.n, 0)::bigint n_base, lo::bigint first_word, hi::bigint last_word,
