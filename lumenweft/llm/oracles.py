@@ -35,9 +35,9 @@ def license_scan() -> str:
 
 
 EXACT_TOPK = """
-    with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) v from embeddings
-               where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint score from v q join v c on q.vec_id != c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+               where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint score from v q join v c on q.vec_id != c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
     select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5
 """
 

@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ class Encoder:
     of another kind encode the text as it is.
     """
 
-    LIMIT = 400_000  # pieces that are remembered
+    LIMIT = 1_200_000  # pieces that are remembered, some 250 MB
     LONGEST = 48  # characters of a remembered piece
     LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     SPACE = r"\s\x1c-\x1f\x85"
@@ -88,11 +89,11 @@ class Encoder:
         if len(known) > self.LIMIT:
             known.clear()
         pieces = [self.split(t or "") for t in texts]
-        fresh = list({x for p in pieces for x in p if x not in known})
+        fresh = list(set(chain.from_iterable(pieces)).difference(known))
         got = dict(zip(fresh, self._encode(fresh))) if fresh else {}
-        once = {k: v for k, v in got.items() if len(k) > self.LONGEST}
+        once = [k for k in got if len(k) > self.LONGEST]
         known.update(got)
-        out = [b"".join([known[x] for x in p]) for p in pieces]
+        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
         for k in once:
             del known[k]
         return out
