@@ -140,7 +140,7 @@ class ShardWriter:
         self.total += len(ids)
         if self.waiting >= self.ROWS * self.length:
             joined = np.concatenate(self.held)
-            whole = len(joined) // self.length * self.length
+            whole = len(joined) // (self.ROWS * self.length) * self.ROWS * self.length  # all batches but the last are full
             self._write(joined[:whole], np.ones(whole, bool))
             self.held, self.waiting = [joined[whole:]], len(joined) - whole
 
@@ -178,6 +178,8 @@ class ShardReader:
         size, parts = ShardWriter.ROWS * self.length, []
         while n > 0:
             part = self._batch(start // size)[start % size : start % size + n]
+            if not len(part):
+                raise ValueError(f"the shard ends before token {start}")
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
