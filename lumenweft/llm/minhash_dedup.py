@@ -8,8 +8,8 @@ at least ``l`` values of its two prefixes (prefix filter over sketches; the
 margin is six standard deviations below the sketch's expectation, sets of fewer
 than ``k`` shingles are exact). Short lists give pairs that share enough lists;
 in a long list every member is held against one pivot, so a group of n copies
-gives n links and not n**2. Lists whose members are not in one component yet get
-another pivot, and in the end the pairs across components that are left. The
+gives n links and not n**2. Members of lists that are not in one component yet are compared
+across components by prefixes of their whole sets, an exact filter. The
 union-sketch estimate drops what is clearly below the threshold; the exact Jaccard
 index on full shingle sets, made anew from the text, confirms the rest.
 Components come from minimum labels with pointer jumping over DataFrames.
@@ -34,7 +34,8 @@ SKETCH = 64
 MARGIN = 0.5  # share of a sketch that two documents at the threshold have in common, with six standard deviations to spare
 SHARED = 3  # lists that a pair from short lists must share
 SHORT_LIST = 10
-PIVOT_ROUNDS = 2
+MERGE_ROUNDS = 1
+PARTNERS = 8  # pairs tried per member in a merge round
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +130,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     # Classes of equal sets; the member with the smallest node stands for all.
     classes = scratch.table(rows.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("node").alias("node")).select("node"), "classes")
     heads = scratch.table(rows.join(classes, "node").withColumn("need", F.ceil(F.lit(MARGIN) * F.size("sketch")).cast("int")), "heads")
-    values = heads.select("node", F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = (
-        values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
-        .join(heads.select("node", "n_shingles", "need", F.size("sketch").alias("s")), "node")
-    )
-    # Values in one document only come first in its prefix; the rest of the prefix is taken from the shared ones.
-    room = F.col("s") - F.col("need") + F.least(F.lit(SHARED), F.col("need")) - (F.col("s") - F.size("vs"))
-    prefix = shared.filter(room > 0).select("node", "n_shingles", "need", F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
-    prefix = scratch.table(prefix.select("node", "n_shingles", "need", F.col("x.v").alias("v")), "prefix")
-    listed = prefix.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("p")).filter("n > 1")
+    sizes = heads.select("node", "n_shingles", "need", F.size("sketch").alias("s"))
+    prefix = scratch.table(_prefixes(heads.select("node", F.explode("sketch").alias("v")), sizes), "prefix")
+    # The pivot is the member with the fewest values of its own: a text that was copied, rather than an edited copy.
+    listed = prefix.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("p")).filter("n > 1")
     entries = scratch.table(prefix.join(listed, "v").select("v", "node", "n_shingles", "need", "n", "p.pivot", "p.pn"), "entries")
 
     def alike(x: str, y: str):
@@ -153,39 +147,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
         .filter(F.col("c") >= F.least(F.lit(SHARED), "need")).select("a", "b")
     )
 
-    def stars(lists: DataFrame) -> DataFrame:
-        """Every member with the pivot that most of its long lists have."""
-        hold = lists.filter((F.col("node") != F.col("pivot")) & alike("n_shingles", "pn")).groupBy("node", "pivot").agg(F.count("*").alias("c"))
-        best = hold.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("x"))
-        return best.select(F.least("node", "x.pivot").alias("a"), F.greatest("node", "x.pivot").alias("b"))
-
+    # A long list's members go with the pivot that most of their long lists have.
     long_lists = entries.filter(F.col("n") > SHORT_LIST)
+    hold = long_lists.filter((F.col("node") != F.col("pivot")) & alike("n_shingles", "pn")).groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    best = hold.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("x"))
+    stars = best.select(F.least("node", "x.pivot").alias("a"), F.greatest("node", "x.pivot").alias("b"))
     scratch.release()
-    links = _confirm(base, heads, pairs.union(stars(long_lists)).distinct(), scratch, width, percent, k, "c0")
-    left = long_lists.select("v", "node", "n_shingles")
-    for i in range(PIVOT_ROUNDS + 1):
-        roots = components(scratch, links, f"cc{i}")
-        # Lists whose members are in several components yet.
-        named = scratch.table(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"named{i}")
-        split = (
-            named.groupBy("v").agg(
-                F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("root", F.lit(i)).alias("h"), F.xxhash64("node").alias("g"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"), F.col("root").alias("pr"))).alias("p")
-            ).filter("r0 != r1").select("v", "p.pivot", "p.pn", "p.pr")
-        )
-        open_lists = scratch.table(named.join(split, "v"), f"open{i}")
-        if open_lists.isEmpty():
-            break
-        if i < PIVOT_ROUNDS:
-            more = stars(open_lists.filter("root != pr"))
-        else:
-            a, b = (open_lists.select("v", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "root")]) for s in "ab")
-            more = a.join(b, "v").filter((F.col("root_a") < F.col("root_b")) & alike("n_shingles_a", "n_shingles_b"))
-            more = more.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        found = _confirm(base, heads, more, scratch, width, percent, k, f"c{i + 1}")
-        links = scratch.table(links.union(found), f"links{i}")
-        left = open_lists.select("v", "node", "n_shingles")
-    else:
-        roots = components(scratch, links, "cc")
+    links = _confirm(base, heads, pairs.union(stars).distinct(), scratch, width, percent, k, "c0")
+    roots = components(scratch, links, "cc0")
+    # Long lists whose members are in several components yet: their members are compared by prefixes of whole sets.
+    named = scratch.table(long_lists.select("v", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    split = named.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("v")
+    members = scratch.table(named.join(split, "v").select("node", "n_shingles", "root").distinct(), "members")
+    scratch.release()
+    if not members.isEmpty():
+        prefix = _whole_prefixes(base, heads, members, scratch, width, percent)
+        for i in range(MERGE_ROUNDS + 1):
+            lists = _open_lists(prefix, roots, scratch, f"open{i}")
+            if lists.isEmpty():
+                break
+            more = _across(lists, percent) if i == MERGE_ROUNDS else _nearest(lists, percent, i)
+            found = _confirm(base, heads, more, scratch, width, percent, k, f"m{i}")
+            links = scratch.table(links.union(found), f"links{i}")
+            roots = components(scratch, links, f"mc{i}")
     # Back to all rows: the root of each class, then the smallest doc_id under each root.
     head_roots = heads.select("set_a", "set_b", "node").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
     full = rows.select("doc_id", "tag_a", "tag_b", "n_shingles", "node", "set_a", "set_b").filter("n_shingles > 0").join(scratch.table(head_roots, "head-roots"), ["set_a", "set_b"])
@@ -196,6 +180,80 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     return full.join(firsts, "root").select("doc_id", "tag_a", "tag_b", "n_shingles", "node", "component_id", (F.col("node") == F.col("first")).alias("is_first"))
 
 
+def _prefixes(values: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, n_shingles, need, alone, at, v): each set's rarest values, up to its prefix length, without the ``alone`` ones that are in one set only; ``at`` is the place in the set's order.
+
+    ``values``: node, v; ``sizes``: node, n_shingles, need (values that a pair at the threshold shares at least), s (size).
+    Two sets that share ``need`` values share min(SHARED, need) values of these prefixes, whatever the common order is.
+    """
+    often = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs")).join(sizes, "node")
+    # Values of one set alone come first in its order; the rest of the prefix is taken from the shared ones.
+    room = F.col("s") - F.col("need") + F.least(F.lit(SHARED), F.col("need")) - (F.col("s") - F.size("vs"))
+    alone = F.col("s") - F.size("vs")
+    opened = shared.filter(room > 0).select("node", "n_shingles", "need", alone.alias("alone"), F.posexplode(F.slice("vs", F.lit(1), room)).alias("i", "x"))
+    return opened.select("node", "n_shingles", "need", "alone", (F.col("alone") + F.col("i")).alias("at"), F.col("x.v").alias("v"))
+
+
+def _whole_prefixes(docs: DataFrame, heads: DataFrame, members: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """Prefixes of the members' whole sets, made again from the texts.
+
+    A set at the threshold shares percent/100 of its own shingles, so these prefixes are short: a copy that
+    was edited in more places than the threshold allows has only shingles of its own there.
+    """
+    wanted = scratch.table(members.join(heads.select("node", "tag_a", "tag_b"), "node").select("node", "tag_a", "tag_b"), "whole-wanted")
+    texts = docs.join(wanted, ["tag_a", "tag_b"]).select("node", "text")
+    sets = scratch.table(texts.mapInArrow(_sets(width), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams")), "whole-sets")
+    scratch.release()
+    sizes = members.select("node", "n_shingles", F.ceil(F.lit(percent) * F.col("n_shingles") / 100).cast("int").alias("need"), F.col("n_shingles").cast("int").alias("s"))
+    prefix = scratch.table(_prefixes(sets.select("node", F.explode("grams").alias("v")), sizes), "whole-prefix")
+    scratch.drop("whole-wanted", "whole-sets")
+    scratch.release()
+    return prefix
+
+
+def _open_lists(prefix: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Entries of the lists whose members are in several components, with each member's root and the list's most common one."""
+    rooted = scratch.table(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{name}-rooted")
+    per_root = rooted.groupBy("v", "root").agg(F.count("*").alias("c"))
+    major = per_root.groupBy("v").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("v", F.col("x.root").alias("major"))
+    return scratch.table(rooted.join(major, "v"), name)
+
+
+def _nearest(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """A few pairs (a, b) per member outside its list's most common component: enough to merge what is close, linear in the lists.
+
+    A list offers its member with the fewest shingles of its own, inside and outside the most common
+    component, and another one drawn anew each turn.
+    """
+    mine = F.col("root") != F.col("major")
+    least, drawn = F.struct("alone", F.xxhash64("node").alias("h"), "node", "root"), F.struct(F.xxhash64("node", "v", F.lit(turn)).alias("h"), "node", "root")
+    ends = lists.groupBy("v").agg(F.min(F.when(mine, least)).alias("p"), F.min(F.when(~mine, least)).alias("q"), F.min(F.when(~mine, drawn)).alias("r"))
+    ends = ends.select("v", F.explode(F.array(*[F.struct(f"{x}.node", f"{x}.root") for x in "pqr"])).alias("e")).select("v", F.col("e.node").alias("other"), F.col("e.root").alias("other_root"))
+    tried = lists.filter(mine).select("v", "node", "root").join(ends, "v").filter("root != other_root").groupBy("node", "other").agg(F.count("*").alias("c"))
+    order = F.struct("c", F.xxhash64("node", "other", F.lit(turn)).alias("h"), "other")
+    best = tried.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, PARTNERS).alias("x"))
+    return best.select("node", F.explode("x.other").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that whole sets leave possible.
+
+    In a list, most members are of one component; only the others are held against all.
+    """
+    few, all_ = (entries.select("v", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "need", "alone", "at", "root")]) for s in "ab")
+    pairs = few.filter("root_a != major").join(all_.drop("major"), "v").filter("root_a != root_b and (root_b = major or node_a < node_b)")
+    # Positional filter.
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+
+    def enough(x: str, y: str):
+        return (100 + percent) * F.least(F.col("n_shingles_a") - F.col(x), F.col("n_shingles_b") - F.col(y)) >= percent * both
+
+    # The first shingle that a pair shares leaves enough behind it in both sets; an entry that doesn't can't be the first.
+    kept = pairs.filter(enough("at_a", "at_b"))
+    return kept.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def keep_first(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component; rows that agree in doc_id and text count as copies."""
     kept = scratch.table(near_duplicates(docs, scratch, width, threshold).filter("is_first").select("tag_a", "tag_b").distinct(), "kept")
