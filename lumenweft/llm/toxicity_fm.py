@@ -6,7 +6,7 @@ term the machine learns a vector per term, so that pairs (an insult with
 a mention of a group, say) count beyond the sum of their parts. It is trained by
 Adagrad on logistic loss with L2, on a bounded sample of labelled rows (``sample`` ids, those with the
 smallest hash; a documented parameter), held in the driver as hashed terms only. Terms that
-stand in fewer than ``least`` of the sampled documents have no weight. The model is a
+stand in fewer than ``least`` of the sampled documents, or whose share of toxic ones is within ``far`` standard deviations of the sample's, have no weight. The model is a
 fixed-size array whatever the corpus; scoring is one pass without a shuffle.
 """
 
@@ -57,7 +57,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, seed: int = 7) -> Model:
+def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, far: float = 5.0, seed: int = 7) -> Model:
     """Adagrad over single documents, in an order drawn from ``seed``. Without rows, or with one class, it says that class's share."""
     size, rng = 1 << bits, np.random.default_rng(seed)
     labels = np.array([y for _, y in rows], np.float64)
@@ -69,8 +69,13 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS
     often = np.zeros(size, np.int64)
     for terms, _ in rows:
         often[terms] += 1
-    # A term in most documents tells nothing; dropping it keeps long texts from adding up.
-    known = (often >= least) & (often <= 0.3 * len(rows))
+    toxic = np.zeros(size, np.int64)
+    for (terms, _), y in zip(rows, labels):
+        if y:
+            toxic[terms] += 1
+    # Only terms whose share of toxic documents is far from the whole sample's: long texts are full of others.
+    z = (toxic - often * share) / np.sqrt(np.maximum(often * share * (1 - share), 1e-9))
+    known = (often >= max(least, 0.01 * labels.sum())) & (np.abs(z) >= far)
     data = [terms[known[terms]] for terms, _ in rows]
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), k))
     gw, gv, gb = np.full(size, 1e-8), np.full((size, k), 1e-8), 1e-8
