@@ -153,7 +153,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     best = hold.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("x"))
     stars = best.select(F.least("node", "x.pivot").alias("a"), F.greatest("node", "x.pivot").alias("b"))
     scratch.release()
-    links = _confirm(base, heads, pairs.union(stars).distinct(), scratch, width, percent, k, "c0")
+    tried = scratch.table(pairs.union(stars).distinct(), "tried")
+    # The texts that any step from here on can need, shuffled once. How many they are isn't bounded, so they are merged at every size.
+    able = tried.select(F.col("a").alias("node")).union(tried.select("b")).union(long_lists.select("node")).distinct()
+    able = able.join(heads.select("node", "tag_a", "tag_b"), "node")
+    held = scratch.table(base.join(able.hint("merge"), ["tag_a", "tag_b"]).select("node", "text"), "texts")
+    scratch.release()
+    links = _confirm(held, heads, tried, scratch, width, percent, k, "c0")
     roots = components(scratch, links, "cc0")
     # Long lists whose members are in several components yet: their members are compared by prefixes of whole sets.
     named = scratch.table(long_lists.select("v", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
@@ -161,13 +167,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     members = scratch.table(named.join(split, "v").select("node", "n_shingles", "root").distinct(), "members")
     scratch.release()
     if not members.isEmpty():
-        prefix = _whole_prefixes(base, heads, members, scratch, width, percent)
+        prefix = _whole_prefixes(held, members, scratch, width, percent)
         for i in range(MERGE_ROUNDS + 1):
             lists = _open_lists(prefix, roots, scratch, f"open{i}")
             if lists.isEmpty():
                 break
             more = _across(lists, percent) if i == MERGE_ROUNDS else _nearest(lists, percent, i)
-            found = _confirm(base, heads, more, scratch, width, percent, k, f"m{i}")
+            found = _confirm(held, heads, more, scratch, width, percent, k, f"m{i}")
             links = scratch.table(links.union(found), f"links{i}")
             roots = components(scratch, links, f"mc{i}")
     # Back to all rows: the root of each class, then the smallest doc_id under each root.
@@ -195,19 +201,18 @@ def _prefixes(values: DataFrame, sizes: DataFrame) -> DataFrame:
     return opened.select("node", "n_shingles", "need", "alone", (F.col("alone") + F.col("i")).alias("at"), F.col("x.v").alias("v"))
 
 
-def _whole_prefixes(docs: DataFrame, heads: DataFrame, members: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def _whole_prefixes(held: DataFrame, members: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Prefixes of the members' whole sets, made again from the texts.
 
     A set at the threshold shares percent/100 of its own shingles, so these prefixes are short: a copy that
     was edited in more places than the threshold allows has only shingles of its own there.
     """
-    wanted = scratch.table(members.join(heads.select("node", "tag_a", "tag_b"), "node").select("node", "tag_a", "tag_b"), "whole-wanted")
-    texts = docs.join(wanted, ["tag_a", "tag_b"]).select("node", "text")
+    texts = held.join(members.select("node"), "node")
     sets = scratch.table(texts.mapInArrow(_sets(width), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams")), "whole-sets")
     scratch.release()
     sizes = members.select("node", "n_shingles", F.ceil(F.lit(percent) * F.col("n_shingles") / 100).cast("int").alias("need"), F.col("n_shingles").cast("int").alias("s"))
     prefix = scratch.table(_prefixes(sets.select("node", F.explode("grams").alias("v")), sizes), "whole-prefix")
-    scratch.drop("whole-wanted", "whole-sets")
+    scratch.drop("whole-sets")
     scratch.release()
     return prefix
 
@@ -262,7 +267,7 @@ def keep_first(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: flo
     return rows.groupBy("tag_a", "tag_b").agg(F.first("row").alias("row")).join(kept, ["tag_a", "tag_b"]).select("row.*")
 
 
-def _confirm(docs: DataFrame, heads: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, percent: int, k: int, name: str) -> DataFrame:
+def _confirm(held: DataFrame, heads: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, percent: int, k: int, name: str) -> DataFrame:
     """The pairs (a, b) at or over the threshold: estimated from the union's sketch, then counted on whole sets."""
     s = heads.select("node", "sketch")
     one = scratch.table(pairs, f"{name}-pairs").join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
@@ -272,8 +277,7 @@ def _confirm(docs: DataFrame, heads: DataFrame, pairs: DataFrame, scratch: Scrat
     likely = scratch.table(two.filter(both >= F.floor(F.lit(MARGIN) * F.size(union))).select("a", "b"), f"{name}-likely")
     # Full sets, made again from the texts of the documents that are in some pair.
     wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    wanted = scratch.table(wanted.join(heads.select("node", "tag_a", "tag_b"), "node"), f"{name}-wanted")
-    texts = docs.join(wanted, ["tag_a", "tag_b"]).select("node", "text")
+    texts = held.join(scratch.table(wanted, f"{name}-wanted"), "node")
     sets = scratch.table(texts.mapInArrow(_sets(width), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams")), f"{name}-sets")
     near = likely.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     near = near.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
