@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,24 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, wherever the driver was started. Returns the session."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
+
+
 def query(oracle: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame under its own name, with SQL for the same rows."""
 
     def register(f):
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(importable(spark), sf_dir)
+
+        _QUERIES[f.__name__] = run
         if oracle is not None:
             _ORACLES[f.__name__] = oracle
         return f
