@@ -30,7 +30,7 @@ def correlations(df: DataFrame, node: str, t: str, value: str, by: list[str] | N
     """Edges (i, j, w) with i < j: Pearson correlation of each pair of nodes over t (null for constant series)."""
     by = by or []
     a, b = (df.select(*by, t, F.col(node).alias(n), F.col(value).alias(v)) for n, v in (("i", "x"), ("j", "y")))
-    return a.join(b, [*by, t]).filter("i < j").groupBy(*by, "i", "j").agg(F.corr("x", "y").alias("w"))
+    return a.join(b, [*by, t]).filter("i < j").groupBy(*by, "i", "j").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("w"))
 
 
 def detrend(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
