@@ -2,7 +2,7 @@
 
 Method. Each source has a weight schedule over training time 0..1, a line with mean 1;
 its integral G gives the share of the source's words due by time t. Documents of a
-source stand in hash order; the words before a document (over repeats, too) are its
+source stand in the order of the md5 of their doc_id and text; the words before a document (over repeats, too) are its
 place in the source's demand, and inverting G turns that into a training
 position. Documents are range-sorted by position.
 
@@ -26,8 +26,8 @@ WEIGHTS = (5, 2, 1)
 #: Start and end of each weight's schedule: heavy sources come early, light ones late.
 RAMPS = ((1.4, 0.6), (1.0, 1.0), (0.6, 1.4))
 MOST = 3
-#: Hash ranges per source, as bits.
-RANGE_BITS = 12
+#: Hash ranges per source, as leading hexadecimal digits.
+RANGE_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, ramps: tuple = RAMPS) -> DataFrame:
@@ -59,9 +59,10 @@ def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most:
     are never taken. The order follows from the rows alone, so reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), *[c.alias(n) for n, c in row_tags().items()])
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    sized = docs.select("doc_id", "source", size.alias("size"), place.alias("place"), *[c.alias(n) for n, c in row_tags().items()])
     # Keys that equal themselves: null sources must join, too.
-    sized = sized.withColumns({"named": F.col("source").isNotNull(), "key": F.coalesce("source", F.lit("")), "range": F.shiftright("tag_a", 64 - RANGE_BITS)})
+    sized = sized.withColumns({"named": F.col("source").isNotNull(), "key": F.coalesce("source", F.lit("")), "range": F.substring("place", 1, RANGE_DIGITS)})
     sized = scratch.table(sized, "sized")
     parts = scratch.table(sized.groupBy("named", "key", "range").agg(F.sum("size").alias("words")), "parts")
     sums = parts.groupBy("named", "key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("named"), F.col("key")))
@@ -69,7 +70,7 @@ def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most:
     targets = scratch.table(targets.withColumns({"named": F.col("source").isNotNull(), "key": F.coalesce("source", F.lit(""))}).drop("source"), "targets")
     before = Window.partitionBy("named", "key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = scratch.table(parts.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(targets, ["named", "key"]), "placed")
-    inside = Window.partitionBy("named", "key", "range").orderBy("tag_a", "tag_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("named", "key", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(parts, ["named", "key", "range"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("start") + F.col("size") / 2.0
     passes = F.floor(F.col("target") / F.col("source_size"))
