@@ -34,11 +34,25 @@ def pooled_t(df: DataFrame, item: str, group: str, value: str) -> DataFrame:
     return p.select(item, F.col(f"{group}_a").alias("group_a"), F.col(f"{group}_b").alias("group_b"), "df", t.alias("t"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
-    """Adds q: adjusted p over all rows as one family. One row per test, so the family is small."""
-    ranked = df.withColumn("k", F.row_number().over(Window.orderBy(p))).withColumn("m", F.count("*").over(Window.partitionBy()))
-    tail = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("k")).over(tail))).drop("k", "m")
+def benjamini_hochberg(df: DataFrame, p: str, ranges: int = 256) -> DataFrame:
+    """Adds q: adjusted p over all rows as one family; null and NaN tests are no part of it and have a null q.
+
+    q depends on p alone, so equal ones are counted first. Ranks and minima run inside ``ranges`` parts of p at
+    approximate quantiles, on top of sums over the parts; no task holds the whole family, and the cuts don't change results.
+    """
+    valid = F.col(p).isNotNull() & ~F.isnan(p)
+    cuts = df.filter(valid).agg(F.percentile_approx(p, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []  # at most ``ranges`` numbers
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
+    each = df.filter(valid).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n")).withColumn("_part", F.size(F.filter(cuts, lambda c: c < F.col("_p"))))
+    inside, before = Window.partitionBy("_part").orderBy("_p"), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("_part").agg(F.sum("_n").alias("_size")).withColumns({"_base": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_m": F.sum("_size").over(Window.partitionBy())})
+    raw = F.col("_p") * F.col("_m") / (F.col("_base") + F.sum("_n").over(inside))
+    raised = each.join(F.broadcast(parts.drop("_size")), "_part").withColumn("_raw", raw)  # one row per part
+    after = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    floors = raised.groupBy("_part").agg(F.min("_raw").alias("_least")).withColumn("_floor", F.min("_least").over(after)).select("_part", "_floor")
+    own = F.min("_raw").over(Window.partitionBy("_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    q = raised.join(F.broadcast(floors), "_part").select("_p", F.least(F.lit(1.0), own, "_floor").alias("q"))
+    return df.join(q, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -206,16 +206,18 @@ def isi_cv(spark, d):
     return x.groupBy("neuron").agg(R6(F.try_divide(F.stddev_pop("isi"), F.avg("isi"))).alias("cv"))
 
 
-NEURONS = 8
+#: Length of the recording.
+DAYS = 30
 
 
-@query(f"with n as (select unnest(range(1, {NEURONS + 1})) neuron), g as (select neuron, b from n, (select unnest(range(30)) b)), c as (select neuron, cast(floor(t / 86400) as bigint) b, count(*) k from {SPIKES} group by 1, 2), f as (select g.neuron, g.b, coalesce(k, 0)::double k from g left join c on g.neuron = c.neuron and g.b = c.b) select x.neuron as i, y.neuron as j, round(corr(x.k, y.k), 6) as w from f x join f y on x.b = y.b and x.neuron < y.neuron group by 1, 2")
+@query(f"with n as (select distinct neuron from {SPIKES}), g as (select neuron, b from n, (select unnest(range({DAYS})) b)), c as (select neuron, cast(floor(t / 86400) as bigint) b, count(*) k from {SPIKES} group by 1, 2), f as (select g.neuron, g.b, coalesce(k, 0)::double k from g left join c on g.neuron = c.neuron and g.b = c.b) select x.neuron as i, y.neuron as j, round(corr(x.k, y.k), 6) + 0.0::double as w from f x join f y on x.b = y.b and x.neuron < y.neuron group by 1, 2")
 def spike_corr(spark, d):
-    """Correlation of daily spike counts, empty bins counted as 0, of the first neurons (a population given by the analysis)."""
-    grid = spark.range(1, NEURONS + 1).select(F.col("id").alias("neuron"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("b"))
-    c = _spikes(spark, d).groupBy("neuron", F.floor(F.col("t") / 86400).cast("long").alias("b")).agg(F.count("*").alias("k"))
+    """Correlation of daily spike counts of all neurons, empty bins counted as 0."""
+    spikes = _spikes(spark, d)
+    grid = spikes.select("neuron").distinct().select("neuron", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))).alias("b"))
+    c = spikes.groupBy("neuron", F.floor(F.col("t") / 86400).cast("long").alias("b")).agg(F.count("*").alias("k"))
     full = grid.join(c, ["neuron", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0)).cast("double"))
-    return S.correlations(full, "neuron", "b", "k").withColumn("w", R6("w"))
+    return S.correlations(full, "neuron", "b", "k").withColumn("w", R6("w") + 0.0)  # -0.0 becomes 0.0
 
 
 def _long(spark, d):

@@ -48,6 +48,20 @@ def test_benjamini_hochberg(spark):
     assert [round(r.q, 9) for r in cohort.benjamini_hochberg(x, "p").orderBy("p").collect()] == [0.04, 0.04, 0.04, 0.5]
 
 
+def test_benjamini_hochberg_with_ties_nulls_and_many_ranges(spark):
+    r = np.random.default_rng(3)
+    p = [float(x) for x in np.round(r.random(500) ** 3, 2)]
+    m, order = len(p), np.sort(p)
+    tail = np.minimum.accumulate((order * m / np.arange(1, m + 1))[::-1])[::-1]
+    want = {float(x): min(1.0, float(tail[np.searchsorted(order, x)])) for x in p}
+    x = spark.createDataFrame([(v,) for v in p] + [(None,), (float("nan"),)], "p double")
+    for ranges in (1, 7, 256):
+        got = cohort.benjamini_hochberg(x, "p", ranges).collect()
+        assert len(got) == m + 2 and sum(g.q is None for g in got) == 2
+        assert all(g.q == pytest.approx(want[g.p], abs=1e-12) for g in got if g.q is not None)
+    assert cohort.benjamini_hochberg(x.limit(0), "p").count() == 0
+
+
 def test_window_counts(spark):
     x = spark.createDataFrame([(100,)], "n int")
     assert x.select(series.window_count(F.col("n"), 10, 1), series.window_count(F.col("n"), 10, 1, False)).first()[:] == (45, 91)
