@@ -45,6 +45,27 @@ def zscore(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
 
 
+def clean(df: DataFrame, keys: list[str], rate: float, low: float, high: float) -> DataFrame:
+    """Series (t, value) without their lines, as z-scores, within [low, high]; constant series are 0."""
+    flat = detrend(df, keys, "t", "value").drop("value")
+    scaled = zscore(flat, keys, "residual").withColumn("value", F.coalesce("z", F.lit(0.0)))
+    return band_pass(scaled.select(*keys, "t", "value"), keys, rate, low, high)
+
+
+def intensity_mask(df: DataFrame, keys: list[str], value: str, lower: float = 0.2, upper: float = 0.85) -> DataFrame:
+    """Adds inside: value above the middle of the widest gap between neighbouring intensities of an image.
+
+    The gap lies between two quantiles; of equally wide ones the lowest counts. An image without a gap
+    (one intensity there) has nothing inside; a null value is outside.
+    """
+    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(lower), F.lit(upper))).alias("q"))
+    levels = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).join(q, keys).filter(F.col("_v").between(F.col("q")[0], F.col("q")[1]))
+    gaps = levels.withColumn("_up", F.lead("_v").over(Window.partitionBy(*keys).orderBy("_v"))).filter("_up is not null")
+    best = gaps.groupBy(*keys).agg(F.max(F.struct((F.col("_up") - F.col("_v")).alias("gap"), (-F.col("_v")).alias("low"), "_up")).alias("x"))
+    cut = best.select(*keys, ((F.col("x._up") - F.col("x.low")) / 2).alias("_cut"))
+    return df.join(cut, keys, "left").withColumn("inside", F.coalesce(F.col(value) > F.col("_cut"), F.lit(False))).drop("_cut")
+
+
 def symmetrize(edges: DataFrame) -> DataFrame:
     """w(i, j) + w(j, i): one union and sum, no self-join."""
     return edges.select("i", "j", "w").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))

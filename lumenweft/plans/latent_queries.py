@@ -48,3 +48,23 @@ def mann_whitney_u(spark, d):
     s = table(spark, d, "supplier").select((F.col("s_nationkey") < 12).alias("first"), F.lit(0).alias("k"), F.col("s_acctbal").alias("v"))
     r = average_rank(s, ["k"], "v", "rank").agg(F.sum(F.when(F.col("first"), F.col("rank"))).alias("r"), F.sum(F.col("first").cast("long")).alias("n"), F.sum((~F.col("first")).cast("long")).alias("m"))
     return r.select((F.col("n") * F.col("m")).alias("u_pairs"), F.round(F.col("r") - F.col("n") * (F.col("n") + 1) / 2, 1).alias("u"))
+
+
+@query()
+def sparse_pca_2d(spark, d):
+    out = latent.sparse_pca(_halves(spark, d), 8, 2, 1.0)
+    return out.select("id", F.get("pc", F.lit(0)).alias("pc1"), F.get("pc", F.lit(1)).alias("pc2"))
+
+
+@query("select vec_id as id, round(embedding[1]::double + embedding[3]::double * exp(embedding[2]::double / 2), 6) as z from embeddings")
+def reparameterize(spark, d):
+    x = _halves(spark, d).select("id", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(("mu", "logvar", "eps"))])
+    return latent.reparameterize(x, "mu", "logvar", F.col("eps")).select("id", F.round("z", 6).alias("z"))
+
+
+@query("with z as (select vec_id as id, embedding[1]::double a, embedding[2]::double b from embeddings) select id, step::double as step, round(tanh(0.5 * (a + step) - 0.25 * b) - tanh(0.5 * a - 0.25 * b), 6) as edge0, round((a + step) * b - a * b, 6) + 0.0::double as edge1 from z, (select unnest([-2.0, -1.0, 0.0, 1.0, 2.0])::double step)")
+def latent_traversal(spark, d):
+    z = _halves(spark, d).select("id", F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"))
+    decoder = {"edge0": lambda c: F.tanh(0.5 * c["a"] - 0.25 * c["b"]), "edge1": lambda c: c["a"] * c["b"]}
+    out = latent.traverse(z, ["a", "b"], "a", [-2, -1, 0, 1, 2], decoder)
+    return out.select("id", "step", F.round("edge0", 6).alias("edge0"), (F.round("edge1", 6) + 0.0).alias("edge1"))

@@ -248,3 +248,14 @@ def coherence_bands(spark, d):
 @query()
 def ica_components(spark, d):
     return S.fast_ica(_long(spark, d), ["subject"], 3)
+
+
+@query()
+def clean_series(spark, d):
+    return S.clean(_long(spark, d), ["subject", "channel"], 6.0, 0.1, 1.0)
+
+
+@query("with p as (select p_brand, p_partkey, p_retailprice::double v from part), q as (select p_brand, quantile_cont(v, 0.2) lo, quantile_cont(v, 0.85) hi from p group by 1), l as (select distinct p_brand, v from p join q using (p_brand) where v between lo and hi), g as (select p_brand, v, lead(v) over (partition by p_brand order by v) up from l), k as (select p_brand, max((up - v, -v, up)) x from g where up is not null group by 1) select p_partkey, coalesce(v > (x[3] - x[2]) / 2, false) as inside from p left join k using (p_brand)")
+def intensity_mask(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").cast("double").alias("v"))
+    return S.intensity_mask(p, ["p_brand"], "v").select("p_partkey", "inside")

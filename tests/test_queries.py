@@ -118,6 +118,36 @@ def test_sparse_components_drop_noise():
     assert (v[2:] == 0).all() and (v[:2] != 0).all()
 
 
+def test_sparse_pca_from_cross_products(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(200, 6)) * 0.1 + 5
+    x[:, :2] += r.normal(size=(200, 1)) * 3
+    rows = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(200, None), (201, [1.0]), (202, [float("nan")] * 6)], "id int, x array<double>").repartition(3)
+    got = {g.id: g.pc for g in latent.sparse_pca(rows, 6, 2, 5.0).collect()}
+    want = (x - x.mean(0)) @ latent.sparse_components(x, 2, 5.0).T
+    assert np.allclose([got[i] for i in range(200)], want, atol=1e-6) and all(got[i] is None for i in (200, 201, 202))
+
+
+def test_intensity_mask_cuts_at_the_gap(spark):
+    x = spark.createDataFrame([("a", float(i)) for i in [*range(10), *range(30, 40)]] + [("a", None), ("flat", 1.0), ("flat", 1.0)], "image string, v double")
+    got = series.intensity_mask(x, ["image"], "v").collect()
+    assert sorted(g.v for g in got if g.inside) == list(range(30, 40)) and len(got) == 23
+
+
+def test_clean_series(spark):
+    t = np.arange(200)
+    v = 3.0 * t + 2 * np.sin(2 * np.pi * 5 * t / 100) + 0.5 * np.cos(2 * np.pi * 30 * t / 100)
+    got = series.clean(spark.createDataFrame(pd.DataFrame({"k": 0, "t": t, "value": v})), ["k"], 100.0, 1.0, 10.0).orderBy("t").toPandas()["value"]
+    flat = v - np.polyval(np.polyfit(t, v, 1), t)
+    spectrum, f = np.fft.rfft((flat - flat.mean()) / flat.std(ddof=1)), np.fft.rfftfreq(200, 0.01)
+    assert np.allclose(got, np.fft.irfft(np.where((f >= 1) & (f <= 10), spectrum, 0), 200), atol=1e-6)
+
+
+def test_drawn_noise_is_standard(spark):
+    z = latent.reparameterize(spark.range(4000).selectExpr("1.0D as mu", "0.0D as lv"), "mu", "lv").agg(F.avg("z"), F.stddev("z")).first()
+    assert z[0] == pytest.approx(1, abs=0.1) and z[1] == pytest.approx(1, abs=0.1)
+
+
 def test_streaming_windows(spark, tmp_path):
     src = str(tmp_path / "in")
     tables.table(spark, DIR, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel"), "value").write.parquet(src)
