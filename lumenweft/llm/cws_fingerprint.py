@@ -1,11 +1,12 @@
 """Document fingerprints by consistent weighted sampling.
 
-Method. A text is a set of terms (shingles of two words, hashed into 2**bits
-buckets) weighted by how often they occur. For each of m samples every term has gamma variates r, c of shape 2 and a
+Method. A text is a set of terms (64-bit hashes of shingles of two words)
+weighted by how often they occur. For each of m samples every term has gamma variates r, c of shape 2 and a
 uniform b, all drawn from the term alone; with t = floor(ln w / r + b) and
 a = c * exp(-r * (t - b) - r) the sample is the (term, t) of smallest a. Two texts agree in
 a sample with probability equal to their generalised Jaccard similarity sum min / sum max.
-The tables of variates have a fixed size and are made once per worker from a seed.
+The variates of a term are uniforms hashed from the whole term and the sample's number (gamma: -ln(u1 * u2)),
+drawn for a block of terms at a time, so there is no table and terms don't share variates however long a text is.
 A fingerprint is m samples of four hex digits each.
 """
 
@@ -23,24 +24,47 @@ from pyspark.sql import functions as F
 
 from lumenweft.llm._shared import LOWER, U64, Scratch, mix64, row_bounds, sliding_hash, span_hashes, utf8, word_spans
 
-BITS = 15
 SAMPLES = 64
-_tables: dict = {}
-
-
-def _variates(bits: int, m: int):
-    """r, 1/r, b and ln c - r + r*b per bucket and sample."""
-    if (bits, m) not in _tables:
-        rng = np.random.default_rng(20_240_501)
-        shape = (1 << bits, m)
-        r, c, b = rng.standard_gamma(2.0, shape, np.float32), rng.standard_gamma(2.0, shape, np.float32), rng.random(shape, np.float32)
-        r, c = np.maximum(r, 1e-4), np.maximum(c, 1e-12)
-        _tables[bits, m] = r, 1 / r, b, np.log(c) - r + r * b
-    return _tables[bits, m]
-
-
-def weighted_terms(texts: pa.Array, bits: int, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, counts and row bounds. Texts of fewer words are one term; without words, their own bytes are."""
+#: Terms whose variates are drawn at a time.
+BLOCK = 1024
+_STEP = U64(0xD1342543DE82EF95)
+
+
+def _variates(terms: np.ndarray, m: int):
+    """r, b and ln c - r + r*b per term and sample."""
+    with np.errstate(over="ignore"):
+        h = terms[:, None] + np.arange(1, 2 * m + 1, dtype=U64) * _STEP
+        h2 = np.right_shift(h, U64(30))  # mix64 in place
+        h ^= h2
+        h *= U64(0xBF58476D1CE4E5B9)
+        h ^= np.right_shift(h, U64(27), out=h2)
+        h *= U64(0x94D049BB133111EB)
+        h ^= np.right_shift(h, U64(31), out=h2)
+    v = h.view(np.uint32)  # four draws per sample
+    # Odd numbers of 24 bits are exact, and neither 0 nor 1 after scaling; b is made of what they leave.
+    odd = np.right_shift(v, np.uint32(8), out=h2.view(np.uint32))
+    odd |= np.uint32(1)
+    u = odd.view(np.int32).astype(np.float32)
+    u *= np.float32(2**-24)
+    b = v[:, :m] << np.uint32(16)
+    b ^= v[:, m : 2 * m] << np.uint32(8)
+    b ^= v[:, 2 * m : 3 * m]
+    b &= np.uint32(0xFFFFFF)
+    b = b.view(np.int32).astype(np.float32)
+    b *= np.float32(2**-24)
+    r = u[:, :m] * u[:, m : 2 * m]
+    c = u[:, 2 * m : 3 * m] * u[:, 3 * m :]
+    np.log(r, out=r)
+    np.log(c, out=c)
+    np.negative(c, out=c)
+    np.log(c, out=c)
+    c += r
+    c -= r * b
+    return np.negative(r, out=r), b, c
+
+
+def weighted_terms(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, ascending in each row, counts and row bounds. Texts of fewer words are one term; without words, their own bytes are."""
     raw, off = utf8(texts)
     rows = len(off) - 1
     start, end, row = word_spans(LOWER[raw], off)
@@ -55,41 +79,39 @@ def weighted_terms(texts: pa.Array, bits: int, width: int = 2) -> tuple[np.ndarr
         lone = np.array([words[bounds[i]] if bounds[i + 1] > bounds[i] else U64(off[i + 1] - off[i]) for i in few], U64)
         some = (off[few + 1] - off[few]) > 0
         of, grams = np.concatenate([of, few[some]]), np.concatenate([grams, lone[some]])
-    bucket = mix64(grams) >> U64(64 - bits)
-    key, count = np.unique((of.astype(U64) << U64(bits)) | bucket, return_counts=True)
-    return (key & U64((1 << bits) - 1)).astype(np.int64), count, row_bounds((key >> U64(bits)).astype(np.int64), rows)
+    order = np.lexsort((grams, of))
+    of, grams = of[order], grams[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
+    at = np.flatnonzero(new)
+    return grams[at], np.diff(at, append=len(of)), row_bounds(of[at], rows)
 
 
-def signatures(texts: pa.Array, bits: int = BITS, m: int = SAMPLES) -> np.ndarray:
+def signatures(texts: pa.Array, m: int = SAMPLES) -> np.ndarray:
     """uint16 samples, one row per text. Zeros stand for an empty text; no sample of a text is zero."""
-    terms, count, bounds = weighted_terms(texts, bits)
-    r, inv, b, base = _variates(bits, m)
+    terms, count, bounds = weighted_terms(texts)
     out = np.zeros((len(bounds) - 1, m), np.uint16)
     cols = np.arange(m)
     for i in np.flatnonzero(np.diff(bounds)):
-        best_a, best = np.full(m, np.inf, np.float32), np.zeros(m, np.uint64)
-        for lo in range(bounds[i], bounds[i + 1], 4096):
-            j = terms[lo : min(lo + 4096, bounds[i + 1])]
+        best_a, best, steps = np.full(m, np.inf, np.float32), np.zeros(m, U64), np.zeros(m, U64)
+        for lo in range(bounds[i], bounds[i + 1], BLOCK):
+            j = terms[lo : min(lo + BLOCK, bounds[i + 1])]
             w = count[lo : lo + len(j)]
-            once = w == 1  # ln w is 0, so t is 0 as b is below 1
-            a, t = base[j], None
-            if not once.all():
-                many = np.flatnonzero(~once)
-                jm = j[many]
-                t = np.floor(np.log(w[many]).astype(np.float32)[:, None] * inv[jm] + b[jm])
-                a[many] -= r[jm] * t
+            r, b, a = _variates(j, m)
+            many = np.flatnonzero(w > 1)  # else ln w is 0, so t is 0 as b is below 1
+            t = np.floor(np.log(w[many]).astype(np.float32)[:, None] / r[many] + b[many])
+            a[many] -= r[many] * t
             pick = a.argmin(0)
-            low = a[pick, cols]
-            step = np.zeros(m, np.float32)
-            if t is not None:
+            step = np.zeros(m, U64)
+            if len(many):
                 where = np.full(len(j), -1)
                 where[many] = np.arange(len(many))
                 at = where[pick]
-                step = np.where(at >= 0, t[np.maximum(at, 0), cols], 0)
-            new = low < best_a
-            best_a[new] = low[new]
-            best[new] = ((j[pick].astype(np.uint64) << U64(20)) + step.astype(np.int64).astype(np.uint64))[new]
-        out[i] = (mix64(best + U64(1)) >> U64(48)).astype(np.uint16) | np.uint16(1)
+                step = np.where(at >= 0, t[np.maximum(at, 0), cols], 0).astype(U64)
+            low = a[pick, cols]
+            new = low < best_a  # of equal ones the smallest term stays, whatever else is in the text
+            best_a[new], best[new], steps[new] = low[new], j[pick][new], step[new]
+        out[i] = (mix64(best ^ mix64(steps + U64(1))) >> U64(48)).astype(np.uint16) | np.uint16(1)
     return out
 
 
@@ -102,7 +124,7 @@ def _hex(signature: np.ndarray) -> list[str]:
     return [x.astype(">u2").tobytes().hex() for x in signature]
 
 
-def fingerprint(docs: DataFrame, bits: int = BITS, m: int = SAMPLES) -> DataFrame:
+def fingerprint(docs: DataFrame, m: int = SAMPLES) -> DataFrame:
     """``docs`` (any columns, with ``text``; null: empty) and a column fingerprint. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +132,7 @@ def fingerprint(docs: DataFrame, bits: int = BITS, m: int = SAMPLES) -> DataFram
 
         for batch in batches:
             for part in slices(batch):
-                yield pa.record_batch([*part.columns, pa.array(_hex(signatures(part.column("text"), bits, m)))], names=[*part.schema.names, "fingerprint"])
+                yield pa.record_batch([*part.columns, pa.array(_hex(signatures(part.column("text"), m)))], names=[*part.schema.names, "fingerprint"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, fingerprint string")
@@ -122,9 +144,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compare(ids: list, texts: list[str], following: list[str], bits: int, m: int, id_type: pa.DataType) -> pa.RecordBatch:
+def _compare(ids: list, texts: list[str], following: list[str], m: int, id_type: pa.DataType) -> pa.RecordBatch:
     changed = [edited(a, b) for a, b in zip(texts, following)]
-    mine, other, then = (signatures(pa.array(x, pa.string()), bits, m) for x in (texts, changed, following))
+    # Most following texts are the next row's own.
+    shift = texts[1:] == following[:-1]
+    mine, other = (signatures(pa.array(x, pa.string()), m) for x in (texts + following[-1:] if shift else texts, changed))
+    then = mine[1:] if shift else signatures(pa.array(following, pa.string()), m)
+    mine = mine[: len(texts)]
     return pa.record_batch(
         [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(_hex(mine)), pa.array(_hex(other)), pa.array(likeness(mine, other)), pa.array(likeness(mine, then))],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
@@ -134,7 +160,7 @@ def _compare(ids: list, texts: list[str], following: list[str], bits: int, m: in
 RESULT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, scratch: Scratch, bits: int = BITS, m: int = SAMPLES) -> DataFrame:
+def compare_with_next(docs: DataFrame, scratch: Scratch, m: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text and of its edited text (see ``edited``), by ascending (doc_id, text), nulls first.
 
     Texts are range-partitioned once. A task knows the next row of all but its last row; the first and the last
@@ -154,7 +180,7 @@ def compare_with_next(docs: DataFrame, scratch: Scratch, bits: int = BITS, m: in
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
             ids, texts = zip(*rows)
-            out = _compare(list(ids[:-1]), list(texts[:-1]), list(texts[1:]), bits, m, arrow_id)
+            out = _compare(list(ids[:-1]), list(texts[:-1]), list(texts[1:]), m, arrow_id)
             n = out.num_rows
             return pa.record_batch([*out.columns, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=[*names, "part", "edge", "edge_text"])
 
@@ -178,7 +204,7 @@ def compare_with_next(docs: DataFrame, scratch: Scratch, bits: int = BITS, m: in
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b, c = (batch.column(x)[i].as_py() for x in ("doc_id", "edge_text", "next_text"))
-                yield _compare([a], [b], [c], bits, m, arrow_id)
+                yield _compare([a], [b], [c], m, arrow_id)
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     kind = RESULT.format(id=id_type)

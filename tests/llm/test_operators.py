@@ -279,3 +279,14 @@ def test_likeness_estimates_generalised_jaccard():
         s = cws_fingerprint.signatures(pa.array([" ".join(a), " ".join(b)]))
         gaps.append(cws_fingerprint.likeness(s[:1], s[1:])[0] - true)
     assert abs(np.mean(gaps)) < 0.05 and np.abs(gaps).max() < 0.25
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_long_unrelated_texts_are_unlike(n):
+    """However many terms a text has, only shared ones make it like another."""
+    g = np.random.default_rng(n)
+    words = [[f"{x}" for x in g.permutation(10**6)[:n]] for _ in range(2)]
+    half = words[0][: n // 2] + words[1][n // 2 :]
+    s = cws_fingerprint.signatures(pa.array([" ".join(w) for w in (*words, half)]))
+    assert cws_fingerprint.likeness(s[:1], s[1:2])[0] < 0.03
+    assert abs(cws_fingerprint.likeness(s[:1], s[2:])[0] - 1 / 3) < 0.2 and abs(cws_fingerprint.likeness(s[1:2], s[2:])[0] - 1 / 3) < 0.2
