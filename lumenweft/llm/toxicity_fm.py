@@ -6,7 +6,9 @@ term the machine learns a vector per term, so that pairs (an insult with
 a mention of a group, say) count beyond the sum of their parts. It is trained by
 Adagrad on logistic loss with L2, on a bounded sample of labelled rows (``sample`` ids, those with the
 smallest hash; a documented parameter), held in the driver as hashed terms only. Terms that
-stand in fewer than ``least`` of the sampled documents, or whose share of toxic ones is within ``far`` standard deviations of the sample's, have no weight. The model is a
+stand in fewer than ``least`` of the sampled documents have no weight. Of the others those have one whose share of toxic
+documents is ``far`` standard deviations or more from the sample's, and both of a pair whose common documents are so much
+oftener toxic than the terms by themselves foretell (``telling_pairs``), however weak each is alone. The model is a
 fixed-size array whatever the corpus; scoring is one pass without a shuffle.
 """
 
@@ -57,27 +59,107 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def telling_pairs(rows: list[tuple[np.ndarray, int]], chance: np.ndarray, least: int = 8, far: float = 7.0, block: int = 512) -> np.ndarray:
+    """Pairs of terms whose common documents are toxic ``far`` standard deviations oftener than ``chance`` says, in ``least`` documents or more.
+
+    chance: each row's probability so far. Rows of equal terms and label count once. All pairs are counted, a block of terms against another at a time.
+    """
+    seen = {(t.tobytes(), y): i for i, (t, y) in enumerate(rows)}
+    rows, chance = [rows[i] for i in seen.values()], chance[list(seen.values())]
+    missed = [t for (t, y), p in zip(rows, chance) if y and p < 0.5]
+    flat = np.concatenate(missed) if missed else np.zeros(0, np.int64)
+    terms, often = np.unique(flat, return_counts=True)
+    terms = terms[often >= least]
+    size = len(rows)
+    at = np.repeat(np.arange(size), [len(t) for t, _ in rows])
+    flat = np.concatenate([t for t, _ in rows]) if rows else flat
+    place = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
+    inside = terms[place] == flat if len(terms) else np.zeros(len(flat), bool)
+    at, place = at[inside], place[inside]
+    order = np.argsort(place, kind="stable")
+    at, place = at[order], place[order]
+    labels = np.array([y for _, y in rows], np.float32)
+    chance = chance.astype(np.float32)
+    miss = labels * (chance < 0.5)
+
+    def columns(lo: int) -> np.ndarray:
+        i, j = np.searchsorted(place, (lo, lo + block))
+        x = np.zeros((size, min(block, len(terms) - lo)), np.float32)
+        x[at[i:j], place[i:j] - lo] = 1
+        return x
+
+    found = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(terms), block):
+        left = columns(lo)
+        for to in range(lo, len(terms), block):
+            right = left if to == lo else columns(to)
+            support = (left[miss > 0].T) @ right[miss > 0]
+            if support.max() < least:
+                continue
+            more = (left * (labels - chance)[:, None]).T @ right
+            spread = (left * (chance * (1 - chance))[:, None]).T @ right
+            i, j = np.nonzero((support >= least) & (more >= far * np.sqrt(np.maximum(spread, 1e-9))))
+            good = i + lo < j + to
+            found.append(np.stack([terms[i[good] + lo], terms[j[good] + to]], axis=1))
+    return np.concatenate(found)
+
+
 def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, far: float = 5.0, seed: int = 7) -> Model:
     """Adagrad over single documents, in an order drawn from ``seed``. Without rows, or with one class, it says that class's share."""
-    size, rng = 1 << bits, np.random.default_rng(seed)
+    size = 1 << bits
     labels = np.array([y for _, y in rows], np.float64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    weights, factors = np.zeros(size), np.zeros((size, k))
-    bias = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
-        return Model(bias, weights.astype(np.float32), factors.astype(np.float32), bits)
-    often = np.zeros(size, np.int64)
-    for terms, _ in rows:
+        return Model(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, k), np.float32), bits)
+    often, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for terms, y in rows:
         often[terms] += 1
-    toxic = np.zeros(size, np.int64)
-    for (terms, _), y in zip(rows, labels):
         if y:
             toxic[terms] += 1
-    # Only terms whose share of toxic documents is far from the whole sample's: long texts are full of others.
+    # Alone, a term must have a share of toxic documents far from the whole sample's: long texts are full of others.
     z = (toxic - often * share) / np.sqrt(np.maximum(often * share * (1 - share), 1e-9))
     known = (often >= max(least, 0.01 * labels.sum())) & (np.abs(z) >= far)
+    model = _adagrad(rows, labels, share, known, np.zeros((0, 2), np.int64), bits, k, epochs, rate, l2, seed)
+    # What these terms explain is no news of a pair, nor is what each of the pair says by itself.
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
+    chance = np.maximum(model.scores(np.concatenate([t for t, _ in rows]), bounds), share)
+    pairs = telling_pairs(rows, chance)
+    alone = np.maximum(toxic / np.maximum(often, 1), share)
+    both = [frozenset(x) for x in pairs.tolist()]
+    count = dict.fromkeys(both, 0)
+    hits = dict.fromkeys(both, 0)
+    held = np.zeros(size, bool)
+    held[pairs] = True
+    partners: dict[int, list[int]] = {}
+    for i, j in pairs.tolist():
+        partners.setdefault(i, []).append(j)
+    for terms, y in rows if both else ():
+        here = set(terms[held[terms]].tolist())
+        for i in here:
+            for j in partners.get(i, ()):
+                if j in here:
+                    count[frozenset((i, j))] += 1
+                    hits[frozenset((i, j))] += y
+    keep = []
+    for (i, j), key in zip(pairs.tolist(), both):
+        n, p = count[key], max(alone[i], alone[j])
+        keep.append(hits[key] - n * p >= far * np.sqrt(n * p * (1 - p) + 1e-9))
+    pairs = pairs[np.array(keep, bool)]
+    if not len(pairs):
+        return model
+    known[pairs] = True
+    return _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed)
+
+
+def _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed) -> Model:
+    size, rng = 1 << bits, np.random.default_rng(seed)
+    weights, factors = np.zeros(size), np.zeros((size, k))
+    bias = float(np.log(share / (1 - share)))
     data = [terms[known[terms]] for terms, _ in rows]
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), k))
+    # The two of a pair begin on the same side, as far out as the few documents with both would be long in bringing them.
+    for n, (i, j) in enumerate(pairs):
+        factors[[i, j], n % k] = 1.0
     gw, gv, gb = np.full(size, 1e-8), np.full((size, k), 1e-8), 1e-8
     for _ in range(epochs):
         for i in rng.permutation(len(data)):

@@ -254,6 +254,17 @@ def test_pairs_of_terms_are_learned():
     assert got[0] < 0.5 and got[1] < 0.5 and got[2] > 0.5 and got[3] < 0.5
 
 
+def test_pairs_of_weakly_associated_terms_are_learned():
+    """Each term stands in 5 % of the rows and is weakly associated by itself; 11 % are toxic for other reasons."""
+    g, rows = np.random.default_rng(0), []
+    for _ in range(8000):
+        a, b, other = g.random(3) < (0.05, 0.05, 0.11)
+        rows.append((np.unique(np.array([*[3][: int(a)], *[5][: int(b)], *g.integers(10, 500, 20)])), int(bool(other or (a and b)))))
+    model = toxicity_fm.train(rows, bits=9)
+    got = model.scores(np.array([3, 5, 3, 5, 20, 30]), np.array([0, 1, 2, 4, 6]))
+    assert got[0] < 0.5 and got[1] < 0.5 and got[2] > 0.5 and got[3] < 0.5
+
+
 def test_fingerprints(spark, odd, none):
     got = cws_fingerprint.compare_with_next(odd, Scratch(spark, "t")).toPandas()
     assert len(got) == len(odd_rows()) and got.near_edited.between(0, 1).all()
