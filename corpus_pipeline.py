@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_duplicates), ("substring_dedup", substring_dedup_stage), ("mix_sources", mix), ("best_fit_packing", pack)]
 
-#: Stages learn models and encode text, which SQL can't express; tests hold each against a brute-force version.
+#: Stages learn models and encode text, which SQL can't express; tests hold each against a brute-force version, toxicity against labels.
 ORACLE_SQL = None
 
 
