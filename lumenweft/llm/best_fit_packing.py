@@ -77,11 +77,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        end = enc.dtype.type(END).tobytes()
         for batch in batches:
             for part in slices(batch):
                 of, piece, start, length, crc = [], [], [], [], []
                 for i, data in enumerate(enc.encode(part.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(data, enc.dtype), enc.dtype.type(END)).astype("<u4")
+                    ids = np.frombuffer(data + end, enc.dtype).astype("<u4")
                     for k, (s, n) in enumerate(cut_points(len(ids), capacity)):
                         of.append(i)
                         piece.append(k)
@@ -99,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataF
 
 
 def best_fit(items: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``items`` (any columns, ``length`` from 1 to capacity) with sequence_id and offset.
+    """``items`` (any columns but these, ``length`` from 1 to capacity) with sequence_id and offset.
 
     Every partition is packed by itself in its own order; sequence_id holds the partition in its upper bits.
     """

@@ -166,17 +166,34 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_token_files_round_trip(spark, odd, none):
-    tok = token_stream.encoder(queries.byte_bpe_path()).tokenizer
-    got = token_stream.token_files(odd, Scratch(spark, "t"), queries.byte_bpe_path(), length=64).toPandas().sort_values("start")
-    rows = sorted(pairs(odd_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    at = 0
-    for (key, text), r in zip(rows, got.itertuples()):
-        ids = ids_of(tok, text)
-        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), brute.crc(ids)) and (key == r.doc_id or key is None)
-        at += len(ids)
-    assert len(got) == len(rows)
-    assert token_stream.token_files(none, Scratch(spark, "t"), queries.byte_bpe_path()).count() == 0
+def held_to_whole_texts(got, rows):
+    """Per document, in stream order: ascending ids (equal ones in any order), starts without gaps, ids of the whole text."""
+    tok, at = token_stream.encoder(queries.byte_bpe_path()).tokenizer, 0
+    got = got.orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda k: (k is not None, k or 0))
+    assert bag((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == bag((k, len(ids), brute.crc(ids)) for k, ids in ((k, ids_of(tok, t)) for k, t in rows))
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_token_files_round_trip(spark, odd, none, driver_rows):
+    path = queries.byte_bpe_path()
+    held_to_whole_texts(token_stream.token_files(odd, Scratch(spark, "t"), path, length=64), pairs(odd_rows()))
+    held_to_whole_texts(queries.op1_token_files(spark, DIR), driver_rows)
+    assert token_stream.token_files(none, Scratch(spark, "t"), path).count() == 0
+
+
+def test_one_id_over_many_shards(spark):
+    """An id that holds all rows is spread, and its shards follow each other."""
+    rows = [(7, f"text {i} " * (i % 9)) for i in range(400)]
+    scratch, path = Scratch(spark, "t"), queries.byte_bpe_path()
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    manifest = scratch.table(token_stream.write_token_files(docs, f"{scratch.path}/tokens", path, 32, shards=4), "manifest")
+    assert manifest.count() > 1 and manifest.agg({"documents": "sum"}).first()[0] == 400
+    got = token_stream.read_token_files(manifest, f"{scratch.path}/tokens", "int")
+    assert dict(got.dtypes)["doc_id"] == "int"
+    held_to_whole_texts(got, rows)
 
 
 def test_long_shard_is_read_in_full(tmp_path):
@@ -189,8 +206,14 @@ def test_long_shard_is_read_in_full(tmp_path):
     whole, r = np.concatenate(parts), token_stream.ShardReader(pa.fs.LocalFileSystem(), str(tmp_path / "a.arrow"))
     for start, n in ((0, 5), (4090, 12), (0, len(whole)), (len(whole) - 3, 3)):
         assert (r.tokens(start, n) == whole[start : start + n]).all()
-    masks = np.concatenate([r.file.get_batch(i).column("mask").flatten().to_numpy(zero_copy_only=False) for i in range(r.file.num_record_batches)])
-    assert masks.sum() == len(whole) and len(masks) % 16 == 0
+    count = sum(r.file.get_batch(i).num_rows for i in range(r.file.num_record_batches))
+    masks = np.concatenate([r.mask(i) for i in range(count)])
+    assert masks.sum() == len(whole) and masks[: len(whole)].all() and len(masks) == 16 * count
+    padded = np.concatenate([r.sequence(i) for i in range(count)])
+    assert (padded[: len(whole)] == whole).all() and not padded[len(whole) :].any()
+    assert not r.sequence(3).flags.owndata and not r.tokens(0, 5).flags.owndata  # views of the mapped file
+    with pytest.raises(ValueError):
+        r.tokens(16 * count, 1)
 
 
 def test_pieces_give_the_ids_of_whole_texts():
