@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from lumenweft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
-from lumenweft.llm.source_mix import MOST
+from lumenweft.llm.source_mix import MOST, RAMPS, WEIGHTS
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,7 +55,7 @@ SUBSTRING_DEDUP = rf"""
     select doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid)
 """
 
-#: Sums over all sources and words, in one order per source.
+#: Sums over all sources and words, in one order per source; the first position solves the integral of the source's schedule for the share met by then.
 SOURCE_MIX = rf"""
     with d as (select row_number() over () rid, doc_id, source, coalesce(len(regexp_extract_all(text, '{SPACED}')), 0)::bigint size,
                       md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) place from documents),
@@ -65,13 +65,14 @@ SOURCE_MIX = rf"""
     l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by k rows between unbounded preceding and 1 preceding), 0))::double
                     / (sum(weight) over (order by k rows between current row and unbounded following))::double as level from o),
     cut as (select min(k) k, arg_min(level, k) level from l where level <= full_at),
-    t as (select source, source_size, case when l.k < cut.k then cap::double else cut.level * weight end target from l, cut),
-    b as (select d.*, source_size, target, coalesce(sum(size) over (partition by d.source order by place, rid rows between unbounded preceding and 1 preceding), 0)::double + size::double / 2 middle
+    t as (select source, source_size, weight, case when l.k < cut.k then cap::double else cut.level * weight end target from l, cut),
+    b as (select d.*, weight, source_size, target, coalesce(sum(size) over (partition by d.source order by place, rid rows between unbounded preceding and 1 preceding), 0)::double + size::double / 2 middle
           from d join t on d.source is not distinct from t.source),
-    n as (select *, floor(target / source_size) passes from b)
-    select doc_id, size, source_size, target,
-           case when size = 0 then 0 else size * least({MOST}, passes::bigint + (middle <= target - passes * source_size)::bigint) end::bigint taken
-    from n
+    n as (select *, floor(target / source_size) passes from b),
+    k as (select *, case when size = 0 then 0 else least({MOST}, passes::bigint + (middle <= target - passes * source_size)::bigint) end::int copies, middle / target share from n)
+    select doc_id, size, source_size, target, (size * copies)::bigint taken, copies,
+           case when copies > 0 then 2 * share / (a + sqrt(a * a + 2 * (b - a) * share)) end first_position
+    from k join (values {', '.join(f'({w}, {a}::double, {b}::double)' for w, (a, b) in zip(WEIGHTS, RAMPS))}) r(weight, a, b) using (weight)
 """
 
 #: Sets against sets by their common shingles; components by what a link reaches.

@@ -44,7 +44,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix_plan(read_table(spark, sf_dir, "documents"), Scratch(spark, "op6")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = source_mix.mix_plan(read_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

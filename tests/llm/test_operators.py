@@ -159,7 +159,36 @@ def test_mix(spark, odd, none):
     assert bag(plan[["doc_id", "size", "taken"]].values) == bag(again[["doc_id", "size", "taken"]].values)
     assert source_mix.mix_plan(none, Scratch(spark, "t")).count() == 0
     stream = source_mix.mixed_stream(odd, Scratch(spark, "t"))
-    assert stream.columns == odd.columns and stream.count() >= plan.copies.sum()
+    assert stream.columns == odd.columns and stream.count() == plan.copies.sum()
+
+
+def test_mix_of_rows_that_sources_share(spark):
+    """Equal rows in several sources, and within one: each source's copies are those of its plan."""
+    rows = [(i % 60, f"{'word ' * (1 + i % 7)}{i % 60}", f"s{i // 90}") for i in range(270)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = source_mix.mix_plan(docs, Scratch(spark, "t")).groupBy("source").agg(F.sum("copies").alias("n"))
+    got = source_mix.mixed_stream(docs, Scratch(spark, "t")).groupBy("source").agg(F.count("*").alias("n"))
+    assert bag(got.collect()) == bag(plan.collect())
+
+
+def test_positions_invert_the_schedules(spark):
+    """Positions against each schedule's integral, summed in small steps, and the order of the stream against them."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 30)), f"s{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = source_mix.mix_plan(docs, Scratch(spark, "t")).collect()
+    t = np.linspace(0, 1, 200_001)
+    for turn, source in enumerate(["s0", "s1", "s2"]):
+        a, b = source_mix.RAMPS[turn]
+        w = a + (b - a) * t
+        met = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2) * (t[1] - t[0])])
+        mine = sorted((r for r in plan if r.source == source), key=lambda r: hashlib.md5(f"{r.doc_id}:{rows[r.doc_id][1]}".encode()).hexdigest())
+        at = 0
+        for r in mine:
+            share = [(j * r.source_size + at + r.size / 2) / r.target for j in range(3)]
+            assert np.allclose(r.positions, np.interp([x for x in share if x <= 1], met, t), atol=1e-5)
+            at += r.size
+    want = [r.doc_id for _, r in sorted((p, r) for r in plan for p in r.positions)]
+    assert [r.doc_id for r in source_mix.mixed_stream(docs, Scratch(spark, "t")).collect()] == want
 
 
 def ids_of(tokenizer, text):
