@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from lumenweft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
+from lumenweft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, needed, stride
 from lumenweft.llm.source_mix import MOST, RAMPS, WEIGHTS
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,15 +14,17 @@ def _list(words) -> str:
 
 
 def license_scan() -> str:
-    """Every line against every template, and every word position against every phrase."""
-    tables = ", ".join(f"('{k}', {_list(sorted(set(v.split())))}, {math.ceil(THRESHOLD * len(set(v.split())) - 1e-9)})" for k, v in TEMPLATES.items())
+    """Every block of every size against every template, and every word position against every phrase."""
+    tables = ", ".join(f"('{k}', {_list(sorted(set(v.split())))}, {needed(v, THRESHOLD)}, {stride(v)})" for k, v in TEMPLATES.items())
     phrases = ", ".join(f"('{v}', {_list(k.split())})" for k, v in PHRASES.items())
     return rf"""
-    with t(label, words, need) as (values {tables}), p(label, words) as (values {phrases}),
+    with t(label, words, need, stride) as (values {tables}), p(label, words) as (values {phrases}),
     d as (select row_number() over () rid, doc_id, {LOW} low from documents),
-    w as (select rid, doc_id, regexp_extract_all(low, '{WORDS}') ws, string_split(low, chr(10)) lines from d),
-    lines as (select rid, list_distinct(regexp_extract_all(line, '{WORDS}')) s from (select rid, unnest(lines) line from w)),
-    hits as (select rid, label, max(len(list_intersect(s, words)) / len(words)::double) score from lines, t where len(list_intersect(s, words)) >= need group by rid, label),
+    w as (select rid, doc_id, regexp_extract_all(low, '{WORDS}') ws from d),
+    one as (select rid, i - 1 pos, ws[i] word from (select rid, ws, unnest(range(1, len(ws) + 1)) i from w)),
+    tw as (select label, len(words) size, need, stride, unnest(words) word from t),
+    inside as (select rid, label, size, need, word, pos // stride - back k from one join tw using (word), (values (0), (1)) b(back)),
+    hits as (select rid, label, count(distinct word) / any_value(size)::double score from inside where k >= 0 group by rid, label, k having count(distinct word) >= any_value(need)),
     places as (select rid, label, i - 1 pos from (select rid, ws, unnest(range(1, len(ws) + 1)) i from w), p where ws[i] = words[1] and ws[i : i + len(words) - 1] = words),
     b as (select rid, count(*) n, min(pos) lo, max(pos) hi, string_agg(distinct label, ',' order by label) labels from places group by rid),
     a as (select rid, string_agg(distinct label, ',' order by label) labels from (select rid, label from hits union all select rid, label from places) group by rid),

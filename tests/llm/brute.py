@@ -72,11 +72,13 @@ def licenses(rows, templates, phrases, threshold):
                     at.append(i)
                     base.add(label)
         score, found = 0.0, set()
-        for line in low.split("\n"):
-            have = set(ALNUM.findall(line))
-            for label, t in templates.items():
-                t = set(t.split())
-                share = len(t & have) / len(t)
+        for label, t in templates.items():
+            step = 1
+            while step < len(t.split()):
+                step *= 2
+            words = set(t.split())
+            for k in range(0, len(w), step):
+                share = len(words & set(w[k : k + 2 * step])) / len(words)
                 if share >= threshold - 1e-12:
                     found.add(label)
                     score = max(score, share)

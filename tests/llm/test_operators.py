@@ -117,6 +117,22 @@ def test_licenses(spark, odd, none, driver_rows):
     assert license_scan.scan_licenses(none, Scratch(spark, "t")).count() == 0
 
 
+def test_notices_over_several_lines(spark):
+    """Headers as they stand in files are found, words far from each other aren't, whatever the lines."""
+    def wrapped(text, mark, width=9):
+        w = text.split()
+        return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    r, t = random.Random(1), license_scan.TEMPLATES
+    filler = lambda n: " ".join(r.choices(WORDS, k=n))
+    far = " ".join(f"{x} {filler(40)}" for x in t["notice-cc-by"].split())
+    rows = [(0, f"{filler(33)}\n{wrapped(t['text-mit'], ' * ')}\n{filler(500)}"), (1, wrapped(t["text-gpl-3"], "# ", 4)), (2, f"{filler(7)}\n" + wrapped(t["text-apache-2"], "// ")), (3, far), (4, "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files"), (5, "license " * 5000)]
+    got = {x.doc_id: x for x in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert "text-mit" in got[0].labels and "notice-mit-grant" in got[0].labels and "text-gpl-3" in got[1].labels and "text-apache-2" in got[2].labels and "notice-mit-grant" in got[4].labels
+    assert got[3].labels == "" and got[3].score == 0 and got[5].labels == ""
+    assert bag(got.values()) == bag(brute.licenses(rows, t, license_scan.PHRASES, license_scan.THRESHOLD))
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracles()))
 def test_sql(spark, name):
     con = duckdb.connect()
