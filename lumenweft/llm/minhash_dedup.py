@@ -9,7 +9,9 @@ margin is six standard deviations below the sketch's expectation, sets of fewer
 than ``k`` shingles are exact). Short lists give pairs that share enough lists;
 in a long list every member is held against one pivot, so a group of n copies
 gives n links and not n**2. Members of lists that are not in one component yet are compared
-across components by prefixes of their whole sets, an exact filter. The
+across components by prefixes of their whole sets, an exact filter: the smaller set of a pair
+needs a shared value in its first ninth (at 0.8), the larger in its first fifth, which leaves out, before any join, texts
+with a larger share of their own. Lists are joined by merging, so that Spark can split a long one. The
 union-sketch estimate drops what is clearly below the threshold; the exact Jaccard
 index on full shingle sets, made anew from the text, confirms the rest.
 Components come from minimum labels with pointer jumping over DataFrames.
@@ -134,7 +136,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     prefix = scratch.table(_prefixes(heads.select("node", F.explode("sketch").alias("v")), sizes), "prefix")
     # The pivot is the member with the fewest values of its own: a text that was copied, rather than an edited copy.
     listed = prefix.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("p")).filter("n > 1")
-    entries = scratch.table(prefix.join(listed, "v").select("v", "node", "n_shingles", "need", "n", "p.pivot", "p.pn"), "entries")
+    entries = scratch.table(prefix.hint("merge").join(listed, "v").select("v", "node", "n_shingles", "need", "n", "p.pivot", "p.pn"), "entries")
 
     def alike(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -164,7 +166,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     # Long lists whose members are in several components yet: their members are compared by prefixes of whole sets.
     named = scratch.table(long_lists.select("v", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     split = named.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("v")
-    members = scratch.table(named.join(split, "v").select("node", "n_shingles", "root").distinct(), "members")
+    members = scratch.table(named.hint("merge").join(split, "v").select("node", "n_shingles", "root").distinct(), "members")
     scratch.release()
     if not members.isEmpty():
         prefix = _whole_prefixes(held, members, scratch, width, percent)
@@ -193,7 +195,7 @@ def _prefixes(values: DataFrame, sizes: DataFrame) -> DataFrame:
     Two sets that share ``need`` values share min(SHARED, need) values of these prefixes, whatever the common order is.
     """
     often = values.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = values.join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs")).join(sizes, "node")
+    shared = values.hint("merge").join(often, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs")).join(sizes, "node")
     # Values of one set alone come first in its order; the rest of the prefix is taken from the shared ones.
     room = F.col("s") - F.col("need") + F.least(F.lit(SHARED), F.col("need")) - (F.col("s") - F.size("vs"))
     alone = F.col("s") - F.size("vs")
@@ -222,7 +224,7 @@ def _open_lists(prefix: DataFrame, roots: DataFrame, scratch: Scratch, name: str
     rooted = scratch.table(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{name}-rooted")
     per_root = rooted.groupBy("v", "root").agg(F.count("*").alias("c"))
     major = per_root.groupBy("v").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("v", F.col("x.root").alias("major"))
-    return scratch.table(rooted.join(major, "v"), name)
+    return scratch.table(rooted.hint("merge").join(major, "v"), name)
 
 
 def _nearest(lists: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -235,27 +237,36 @@ def _nearest(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     least, drawn = F.struct("alone", F.xxhash64("node").alias("h"), "node", "root"), F.struct(F.xxhash64("node", "v", F.lit(turn)).alias("h"), "node", "root")
     ends = lists.groupBy("v").agg(F.min(F.when(mine, least)).alias("p"), F.min(F.when(~mine, least)).alias("q"), F.min(F.when(~mine, drawn)).alias("r"))
     ends = ends.select("v", F.explode(F.array(*[F.struct(f"{x}.node", f"{x}.root") for x in "pqr"])).alias("e")).select("v", F.col("e.node").alias("other"), F.col("e.root").alias("other_root"))
-    tried = lists.filter(mine).select("v", "node", "root").join(ends, "v").filter("root != other_root").groupBy("node", "other").agg(F.count("*").alias("c"))
+    tried = lists.filter(mine).select("v", "node", "root").hint("merge").join(ends, "v").filter("root != other_root").groupBy("node", "other").agg(F.count("*").alias("c"))
     order = F.struct("c", F.xxhash64("node", "other", F.lit(turn)).alias("h"), "other")
     best = tried.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, PARTNERS).alias("x"))
     return best.select("node", F.explode("x.other").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _roles(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(smaller, larger): the entries that can be the first value that a pair shares, in the smaller and in the larger of its sets.
+
+    What stands before that value isn't shared, so at most the rest is. Sets of n and m values share
+    percent / (100 + percent) * (n + m) at least: the smaller has a partner of its own size or more, the
+    larger one of percent / 100 of its size or more. Both bounds hold for each entry by itself, so they prune before any join.
+    """
+    rest = (100 + percent) * (F.col("n_shingles") - F.col("at"))
+    return entries.filter(rest >= 2 * percent * F.col("n_shingles")), entries.filter(100 * rest >= percent * (100 + percent) * F.col("n_shingles"))
+
+
 def _across(entries: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different components that whole sets leave possible.
 
     In a list, most members are of one component; only the others are held against all.
     """
-    few, all_ = (entries.select("v", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "need", "alone", "at", "root")]) for s in "ab")
-    pairs = few.filter("root_a != major").join(all_.drop("major"), "v").filter("root_a != root_b and (root_b = major or node_a < node_b)")
-    # Positional filter.
-    both = F.col("n_shingles_a") + F.col("n_shingles_b")
-
-    def enough(x: str, y: str):
-        return (100 + percent) * F.least(F.col("n_shingles_a") - F.col(x), F.col("n_shingles_b") - F.col(y)) >= percent * both
-
-    # The first shingle that a pair shares leaves enough behind it in both sets; an entry that doesn't can't be the first.
-    kept = pairs.filter(enough("at_a", "at_b"))
+    smaller, larger = (x.select("v", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n_shingles", "at", "root")]) for x, s in zip(_roles(entries, percent), "ab"))
+    lone = [smaller.filter("root_a != major"), larger.filter("root_b != major")]
+    pairs = lone[0].hint("merge").join(larger.drop("major"), "v").unionByName(smaller.filter("root_a = major").drop("major").hint("merge").join(lone[1].drop("major"), "v"), allowMissingColumns=True)
+    n, m = F.col("n_shingles_b"), F.col("n_shingles_a")
+    sized = ((m < n) | ((m == n) & (F.col("node_a") < F.col("node_b")))) & (100 * m >= percent * n)
+    # Positional filter: the first shared value leaves enough behind it in both sets.
+    enough = (100 + percent) * F.least(m - F.col("at_a"), n - F.col("at_b")) >= percent * (n + m)
+    kept = pairs.filter((F.col("root_a") != F.col("root_b")) & sized & enough)
     return kept.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 

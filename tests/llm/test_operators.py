@@ -109,6 +109,39 @@ def test_large_groups_of_edited_copies(spark):
     assert bag(got) == bag(brute.components(rows))
 
 
+def test_families_without_links_make_no_pairs(spark):
+    """Texts that share 87 % and aren't copies: what the join across components holds against each other doesn't grow with their square."""
+    r, met = random.Random(8), {}
+    base = [r.choice(WORDS) + str(i) for i in range(260)]
+    for n in (100, 200):
+        rows = [(i, " ".join(base + [f"own{i}x{j}" for j in range(39)])) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert bag(minhash_dedup.near_duplicates(docs, Scratch(spark, "t"), 2).select("doc_id", "n_shingles", "component_id").collect()) == bag(brute.components(rows))
+        scratch = Scratch(spark, "t")
+        held = scratch.table(docs.select(F.col("doc_id").alias("node"), "text"), "held")
+        members = scratch.table(held.select("node", F.lit(298).alias("n_shingles")), "members")
+        prefix = minhash_dedup._whole_prefixes(held, members, scratch, 2, 80)
+        lists = minhash_dedup._open_lists(prefix, spark.createDataFrame([], "node long, root long"), scratch, "open")
+        assert lists.groupBy("v").count().agg({"count": "max"}).first()[0] == n
+        small, large = minhash_dedup._roles(lists, 80)
+        met[n] = small.select("v", "node").join(large.select("v"), "v").count()
+    assert met[200] <= 2 * met[100]
+
+
+def test_pairs_across_components_near_the_threshold(spark):
+    """Families around the threshold, where some pairs are links and the texts' sizes differ."""
+    r, rows = random.Random(9), []
+    base = [r.choice(WORDS) + str(i) for i in range(90)]
+    for i in range(120):
+        w = list(base[: r.randint(74, 90)])
+        for _ in range(r.randint(2, 7)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash_dedup.near_duplicates(df, Scratch(spark, "t"), 2).select("doc_id", "n_shingles", "component_id").collect()
+    assert bag(got) == bag(brute.components(rows)) and len({x.component_id for x in got}) > 3
+
+
 def test_licenses(spark, odd, none, driver_rows):
     want = brute.licenses(driver_rows, license_scan.TEMPLATES, license_scan.PHRASES, license_scan.THRESHOLD)
     assert bag(queries.op3_license_scan(spark, DIR).collect()) == bag(want)
