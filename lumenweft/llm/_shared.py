@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -159,23 +161,28 @@ _local: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a temporary one (for tests on one machine)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if all tasks run in this process (tests); on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
-        import shutil
-
         _local.append(tempfile.mkdtemp(prefix="lumenweft-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return f"file://{_local[0]}"
 
 
 class Scratch:
-    """Tables written once to the shared folder, so that lineage ends there and lost executors cost no more than a reread."""
+    """Tables written once to the shared folder, so that lineage ends there and lost executors cost no more than a reread.
+
+    They are removed when the driver's JVM ends, or by drop("").
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = prepare(spark), f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
@@ -200,5 +207,13 @@ def row_tags(prefix: str = "") -> dict:
     return {"tag_a": F.xxhash64(key, text), "tag_b": F.xxhash64(F.lit(0x5EED), text, key)}
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

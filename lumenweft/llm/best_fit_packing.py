@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenweft.llm._shared import Scratch, row_tags, slices
 from lumenweft.llm.token_stream import END, encoder, ids_crc32
@@ -100,20 +101,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataF
 
 
 def best_fit(items: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``items`` (any columns but these, ``length`` from 1 to capacity) with sequence_id and offset.
+    """``items`` (any columns, ``length`` from 1 to capacity) with sequence_id and offset; columns of these names are replaced.
 
     Every partition is packed by itself in its own order; sequence_id holds the partition in its upper bits.
     """
 
+    items = items.drop("sequence_id", "offset")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, bins = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
+            placed = [bins.place(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
             numbers, offsets = np.array(placed, np.int64).reshape(-1, 2).T
             yield pa.record_batch([*batch.columns, pa.array(numbers + base), pa.array(offsets)], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
 Method. A text is a set of terms (64-bit hashes of shingles of two words)
-weighted by how often they occur. For each of m samples every term has gamma variates r, c of shape 2 and a
+weighted by how often they occur; a text of one word is that word, and one without words counts by its length alone. For each of m samples every term has gamma variates r, c of shape 2 and a
 uniform b, all drawn from the term alone; with t = floor(ln w / r + b) and
 a = c * exp(-r * (t - b) - r) the sample is the (term, t) of smallest a. Two texts agree in
 a sample with probability equal to their generalised Jaccard similarity sum min / sum max.
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenweft.llm._shared import LOWER, U64, Scratch, mix64, row_bounds, sliding_hash, span_hashes, utf8, word_spans
 
@@ -125,17 +126,17 @@ def _hex(signature: np.ndarray) -> list[str]:
 
 
 def fingerprint(docs: DataFrame, m: int = SAMPLES) -> DataFrame:
-    """``docs`` (any columns, with ``text``; null: empty) and a column fingerprint. One pass, no shuffle."""
+    """``docs`` (any columns, with ``text``; null: empty) and a column fingerprint; one of that name is replaced. One pass, no shuffle."""
+    docs = docs.drop("fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenweft.llm._shared import slices
 
         for batch in batches:
             for part in slices(batch):
-                yield pa.record_batch([*part.columns, pa.array(_hex(signatures(part.column("text"), m)))], names=[*part.schema.names, "fingerprint"])
+                yield pa.record_batch([*part.columns, pa.array(_hex(signatures(part.column(part.schema.get_field_index("text")), m)), pa.string())], names=[*part.schema.names, "fingerprint"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, fingerprint string")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def edited(text: str, following: str) -> str:
@@ -161,7 +162,7 @@ RESULT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def compare_with_next(docs: DataFrame, scratch: Scratch, m: int = SAMPLES) -> DataFrame:
-    """Fingerprints of each text and of its edited text (see ``edited``), by ascending (doc_id, text), nulls first.
+    """Fingerprints of each text and of its edited text (see ``edited``), by ascending doc_id, nulls first; equal ids by the hash of their texts.
 
     Texts are range-partitioned once. A task knows the next row of all but its last row; the first and the last
     text of each partition are kept aside and meet in a second, small step.
