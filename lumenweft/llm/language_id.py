@@ -2,11 +2,10 @@
 
 Method. Texts are lower-cased; runs of one to three characters, without digits and
 signs, are hashed to 2**bits buckets. Counts per language come from a bounded sample of labelled rows
-(``sample`` rows, those with the smallest hash; a documented parameter), summed in Spark
-per (language, bucket); the log-probability matrix of fixed size is broadcast, and
+(of each language the ``sample`` different rows with the smallest hash; a documented parameter), summed in Spark
+per (language, bucket); priors are the languages' shares of all labelled rows. The log-probability matrix of fixed size is broadcast, and
 batches are scored in numpy as sparse counts, a slice of text at a time.
-The languages are those of the sample. The score is the posterior, tempered by the
-number of n-grams, since they aren't independent.
+The score is the posterior, tempered by the number of n-grams, since they aren't independent.
 """
 
 from __future__ import annotations
@@ -17,13 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenweft.llm._shared import U64, prepare, row_tags, slices
 
 BITS = 14
-SAMPLE = 4_000
+#: Rows a language; up to 1000 Spark cuts each task's candidates before it shuffles them.
+SAMPLE = 1_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +103,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, smoothing:
                 texts = [t for t, x in zip(batch.column("text").to_pylist(), langs) if x == lang]
                 counts = np.bincount(hashed_grams(texts, bits)[0], minlength=1 << bits)
                 some = np.flatnonzero(counts)
-                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some]), pa.array([len(texts)] + [0] * (len(some) - 1), pa.int64()) if len(some) else pa.array([], pa.int64())], names=["lang", "bucket", "n", "docs"])
+                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
 
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "lang", "text").withColumns(row_tags())
-    # The sample's tags are a table of bounded size; the texts are not sorted.
-    few = rows.select("tag_a", "tag_b").distinct().orderBy("tag_a", "tag_b").limit(sample)
-    chosen = rows.join(F.broadcast(few), ["tag_a", "tag_b"], "left_semi").select("lang", "text")
-    counts = chosen.mapInArrow(run, "lang string, bucket int, n long, docs long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    langs, table, docs = [], {}, {}
+    docs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    # The sample's tags are a table of bounded size; the texts are not sorted. Repeated rows are learned from once.
+    order = Window.partitionBy("lang").orderBy("tag_a", "tag_b")
+    few = rows.select("lang", "tag_a", "tag_b").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n")
+    chosen = rows.join(F.broadcast(few), ["lang", "tag_a", "tag_b"], "left_semi").groupBy("lang", "tag_a", "tag_b").agg(F.first("text").alias("text")).select("lang", "text")
+    counts = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table: dict[str, np.ndarray] = {}
     for r in counts.toLocalIterator():
         table.setdefault(r.lang, np.zeros(1 << bits))[r.bucket] = r.n
-        docs[r.lang] = docs.get(r.lang, 0) + r.docs
     langs = sorted(table)
     if not langs:
         return Model([], np.zeros((1 << bits, 0)), np.zeros(0), bits)
@@ -122,15 +124,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, smoothing:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, with ``text``) and lang_pred, score. Whole texts are read; null or letterless: und, 0."""
+    """``docs`` (any columns, with ``text``) and lang_pred, score; columns of these names are replaced. Whole texts are read; null or letterless: und, 0."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part in slices(batch, limit=1 << 18):
-                langs, post = m.predict(pc.fill_null(part.column("text"), "").to_pylist())
+                langs, post = m.predict(pc.fill_null(part.column(part.schema.get_field_index("text")), "").to_pylist())
                 yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(post)], names=[*part.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
