@@ -5,11 +5,14 @@ present. score = sigmoid(b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2)): b
 term the machine learns a vector per term, so that pairs (an insult with
 a mention of a group, say) count beyond the sum of their parts. It is trained by
 Adagrad on logistic loss with L2, on a bounded sample of labelled rows (``sample`` ids, those with the
-smallest hash; a documented parameter), held in the driver as hashed terms only. Terms that
-stand in fewer than ``least`` of the sampled documents have no weight. Of the others those have one whose share of toxic
-documents is ``far`` standard deviations or more from the sample's, and both of a pair whose common documents are so much
-oftener toxic than the terms by themselves foretell (``telling_pairs``), however weak each is alone. The model is a
+smallest hash; a documented parameter), held in the driver as hashed terms only, at most 2**bits a row. Long texts
+hold thousands of terms that say nothing, so the loss is also penalised by L1, scaled by each term's own noise: the active set
+grows in rounds, and a term, or both terms of a pair, enter when the gradient is far from 0 given the model so far
+(``train``). Pairs enter whichever way they differ, however weak each term is alone. The model is a
 fixed-size array whatever the corpus; scoring is one pass without a shuffle.
+
+Defined results: null, empty and wordless texts have the bias alone, as has a text without active terms; repeated rows are
+scored alike; of repeated ids one text each is learned from; no labels, or one class, give that class's share to all.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenweft.llm._shared import NON_WORD, U64, prepare, row_bounds, slices, span_hashes, utf8, word_spans
 
@@ -59,28 +63,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def telling_pairs(rows: list[tuple[np.ndarray, int]], chance: np.ndarray, least: int = 8, far: float = 7.0, block: int = 512) -> np.ndarray:
-    """Pairs of terms whose common documents are toxic ``far`` standard deviations oftener than ``chance`` says, in ``least`` documents or more.
+def _distinct(rows: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """Rows of equal terms and label once: copies are no further evidence."""
+    return list({(t.tobytes(), y): (t, y) for t, y in rows}.values())
+
+
+def telling_terms(rows: list[tuple[np.ndarray, int]], chance: np.ndarray, share: float, size: int, far: float) -> np.ndarray:
+    """True for terms whose documents are toxic ``far`` standard deviations oftener or more seldom than ``chance`` says.
 
-    chance: each row's probability so far. Rows of equal terms and label count once. All pairs are counted, a block of terms against another at a time.
+    For oftener, nothing counts as less likely than ``share``: a fitted model would call each document it misses far off.
+    """
+    out = np.zeros(size, bool)
+    for sign, expected in ((1, np.maximum(chance, share)), (-1, chance)):
+        more, spread = np.zeros(size), np.zeros(size)
+        for (t, y), p in zip(rows, expected.tolist()):
+            more[t] += y - p
+            spread[t] += p * (1 - p)
+        out |= (sign * more >= far * np.sqrt(spread)) & (spread > 0)
+    return out
+
+
+def telling_pairs(rows: list[tuple[np.ndarray, int]], chance: np.ndarray, share: float, least: int, far: float, block: int = 512) -> list[tuple[int, int, bool]]:
+    """(term, term, oftener) of pairs whose common documents, ``least`` or more, are toxic ``far`` standard deviations oftener or more seldom than ``chance`` says.
+
+    Terms that can't be in such a pair are left out first: oftener takes ``least`` toxic documents that aren't foretold,
+    more seldom a spread of far**2. All pairs of the others are counted, a block of terms against another at a time.
     """
-    seen = {(t.tobytes(), y): i for i, (t, y) in enumerate(rows)}
-    rows, chance = [rows[i] for i in seen.values()], chance[list(seen.values())]
-    missed = [t for (t, y), p in zip(rows, chance) if y and p < 0.5]
-    flat = np.concatenate(missed) if missed else np.zeros(0, np.int64)
-    terms, often = np.unique(flat, return_counts=True)
-    terms = terms[often >= least]
     size = len(rows)
     at = np.repeat(np.arange(size), [len(t) for t, _ in rows])
-    flat = np.concatenate([t for t, _ in rows]) if rows else flat
-    place = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
-    inside = terms[place] == flat if len(terms) else np.zeros(len(flat), bool)
-    at, place = at[inside], place[inside]
+    flat = np.concatenate([t for t, _ in rows])
+    labels, low = np.array([y for _, y in rows], np.float32), chance.astype(np.float32)
+    high = np.maximum(low, np.float32(share))  # as in telling_terms
+    missed, spread, spread_up = labels * (low < 0.5), low * (1 - low), high * (1 - high)
+    terms, place = np.unique(flat, return_inverse=True)
+    able = (np.bincount(place, missed[at]) >= least) | (np.bincount(place, spread[at]) >= far * far)
+    keep = able[place]
+    at, place, terms = at[keep], (np.cumsum(able) - 1)[place[keep]], terms[able]
     order = np.argsort(place, kind="stable")
     at, place = at[order], place[order]
-    labels = np.array([y for _, y in rows], np.float32)
-    chance = chance.astype(np.float32)
-    miss = labels * (chance < 0.5)
 
     def columns(lo: int) -> np.ndarray:
         i, j = np.searchsorted(place, (lo, lo + block))
@@ -88,67 +108,70 @@ def telling_pairs(rows: list[tuple[np.ndarray, int]], chance: np.ndarray, least:
         x[at[i:j], place[i:j] - lo] = 1
         return x
 
-    found = [np.zeros((0, 2), np.int64)]
+    found = []
     for lo in range(0, len(terms), block):
         left = columns(lo)
         for to in range(lo, len(terms), block):
             right = left if to == lo else columns(to)
-            support = (left[miss > 0].T) @ right[miss > 0]
-            if support.max() < least:
-                continue
-            more = (left * (labels - chance)[:, None]).T @ right
-            spread = (left * (chance * (1 - chance))[:, None]).T @ right
-            i, j = np.nonzero((support >= least) & (more >= far * np.sqrt(np.maximum(spread, 1e-9))))
-            good = i + lo < j + to
-            found.append(np.stack([terms[i[good] + lo], terms[j[good] + to]], axis=1))
-    return np.concatenate(found)
-
-
-def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, least: int = 3, far: float = 5.0, seed: int = 7) -> Model:
-    """Adagrad over single documents, in an order drawn from ``seed``. Without rows, or with one class, it says that class's share."""
+            sums = lambda x: (left * x[:, None]).T @ right
+            up = (sums(missed) >= least) & (sums(labels - high) >= far * np.sqrt(sums(spread_up)))
+            limit = np.sqrt(sums(spread))
+            down = (left.T @ right >= least) & (limit >= far) & (sums(labels - low) <= -far * limit)
+            for i, j in np.argwhere(up | down).tolist():
+                if i + lo < j + to:
+                    found.append((int(terms[i + lo]), int(terms[j + to]), bool(up[i, j])))
+    return found
+
+
+def _beyond_each(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[int, int, bool]], far: float) -> list[tuple[int, int, bool]]:
+    """The pairs whose common documents also differ that far from the documents of either term by itself."""
+    held = {x for i, j, _ in pairs for x in (i, j)}
+    listed = np.array(sorted(held), np.int64)
+    docs: dict[int, set[int]] = {x: set() for x in held}
+    for n, (t, _) in enumerate(rows):
+        for x in t[np.isin(t, listed)].tolist():
+            docs[x].add(n)
+    toxic = {n for n, (_, y) in enumerate(rows) if y}
+    out = []
+    for i, j, up in pairs:
+        both, shares = docs[i] & docs[j], [len(docs[x] & toxic) / len(docs[x]) for x in (i, j)]
+        p = max(shares) if up else min(shares)
+        gap = len(both & toxic) - len(both) * p
+        if abs(gap) >= far * np.sqrt(len(both) * p * (1 - p) + 1e-9) and (gap > 0) == up:
+            out.append((i, j, up))
+    return out
+
+
+def train(
+    rows: list[tuple[np.ndarray, int]], bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, far: float = 5.0, pair_far: float = 7.0, least: int = 8, rounds: int = 3, seed: int = 7
+) -> Model:
+    """Adagrad over single documents, in an order drawn from ``seed``, on an active set of terms that grows in ``rounds``.
+
+    Every term and every pair of terms can enter; each does when the loss's gradient by it, given the
+    model so far, is ``far`` (``pair_far``) standard deviations from 0: an L1 penalty scaled by each one's own noise.
+    Without rows, or with one class, the model says that class's share.
+    """
     size = 1 << bits
     labels = np.array([y for _, y in rows], np.float64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
+    model = Model(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, k), np.float32), bits)
     if len(set(labels.tolist())) < 2:
-        return Model(float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, k), np.float32), bits)
-    often, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for terms, y in rows:
-        often[terms] += 1
-        if y:
-            toxic[terms] += 1
-    # Alone, a term must have a share of toxic documents far from the whole sample's: long texts are full of others.
-    z = (toxic - often * share) / np.sqrt(np.maximum(often * share * (1 - share), 1e-9))
-    known = (often >= max(least, 0.01 * labels.sum())) & (np.abs(z) >= far)
-    model = _adagrad(rows, labels, share, known, np.zeros((0, 2), np.int64), bits, k, epochs, rate, l2, seed)
-    # What these terms explain is no news of a pair, nor is what each of the pair says by itself.
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
-    chance = np.maximum(model.scores(np.concatenate([t for t, _ in rows]), bounds), share)
-    pairs = telling_pairs(rows, chance)
-    alone = np.maximum(toxic / np.maximum(often, 1), share)
-    both = [frozenset(x) for x in pairs.tolist()]
-    count = dict.fromkeys(both, 0)
-    hits = dict.fromkeys(both, 0)
-    held = np.zeros(size, bool)
-    held[pairs] = True
-    partners: dict[int, list[int]] = {}
-    for i, j in pairs.tolist():
-        partners.setdefault(i, []).append(j)
-    for terms, y in rows if both else ():
-        here = set(terms[held[terms]].tolist())
-        for i in here:
-            for j in partners.get(i, ()):
-                if j in here:
-                    count[frozenset((i, j))] += 1
-                    hits[frozenset((i, j))] += y
-    keep = []
-    for (i, j), key in zip(pairs.tolist(), both):
-        n, p = count[key], max(alone[i], alone[j])
-        keep.append(hits[key] - n * p >= far * np.sqrt(n * p * (1 - p) + 1e-9))
-    pairs = pairs[np.array(keep, bool)]
-    if not len(pairs):
         return model
-    known[pairs] = True
-    return _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed)
+    once = _distinct(rows)
+    bounds, flat = np.concatenate([[0], np.cumsum([len(t) for t, _ in once])]), np.concatenate([t for t, _ in once])
+    known, pairs = np.zeros(size, bool), {}
+    for _ in range(rounds):
+        chance = model.scores(flat, bounds)
+        terms = telling_terms(once, chance, share, size, far) & ~known
+        fresh = [] if terms.any() else [x for x in _beyond_each(once, telling_pairs(once, chance, share, least, pair_far), pair_far) if x[:2] not in pairs]
+        if not terms.any() and not fresh:
+            break
+        known |= terms
+        for i, j, up in fresh:
+            pairs[i, j] = up
+            known[[i, j]] = True
+        model = _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed)
+    return model
 
 
 def _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed) -> Model:
@@ -157,9 +180,9 @@ def _adagrad(rows, labels, share, known, pairs, bits, k, epochs, rate, l2, seed)
     bias = float(np.log(share / (1 - share)))
     data = [terms[known[terms]] for terms, _ in rows]
     factors[known] = rng.normal(0, 0.01, (int(known.sum()), k))
-    # The two of a pair begin on the same side, as far out as the few documents with both would be long in bringing them.
-    for n, (i, j) in enumerate(pairs):
-        factors[[i, j], n % k] = 1.0
+    # The two of a pair begin on the same side, or on opposite ones, as far out as the few documents with both would be long in bringing them.
+    for n, ((i, j), up) in enumerate(pairs.items()):
+        factors[i, n % k], factors[j, n % k] = 1.0, 1.0 if up else -1.0
     gw, gv, gb = np.full(size, 1e-8), np.full((size, k), 1e-8), 1e-8
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
@@ -201,19 +224,19 @@ def fit(labelled: DataFrame, bits: int = BITS, **options) -> Model:
     return train([(flat[off[i] : off[i + 1]].astype(np.int64), int(labels[i])) for i in order], bits, **options)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, with ``text``; null: empty) and a column toxicity from 0 to 1."""
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """``docs`` (any columns, with ``text``; null: empty) and a column from 0 to 1; one of that name is replaced."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part in slices(batch):
-                s = m.scores(*hashed_terms(part.column("text"), m.bits))
-                yield pa.record_batch([*part.columns, pa.array(s)], names=[*part.schema.names, "toxicity"])
+                s = m.scores(*hashed_terms(part.column(part.schema.get_field_index("text")), m.bits))
+                yield pa.record_batch([*part.columns, pa.array(s)], names=[*part.schema.names, column])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, toxicity double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def remainder(column: str, by: int):
@@ -224,9 +247,11 @@ def remainder(column: str, by: int):
 def fit_on_labels(spark: SparkSession, documents: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE, **options) -> Model:
     """Fits on documents with a label; rows whose remainder by ``held_out`` is 0 take no part.
 
-    At most ``sample`` labelled ids are used, those with the smallest hash; only their bounded table is broadcast.
+    At most ``sample`` labelled ids are used, those with the smallest hash, and one text of each, so what reaches
+    the driver is bounded; only the ids' table is broadcast.
     """
     prepare(spark)
     marks = labels.filter("toxic is not null and doc_id is not null").filter(remainder("doc_id", held_out) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return fit(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), **options)
+    rows = documents.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text").alias("x")).join(F.broadcast(chosen), "doc_id")
+    return fit(rows.groupBy("doc_id", "label").agg(F.min("x").alias("x")).select("x.text", "label"), **options)

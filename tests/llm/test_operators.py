@@ -366,6 +366,82 @@ def test_pairs_of_weakly_associated_terms_are_learned():
     assert got[0] < 0.5 and got[1] < 0.5 and got[2] > 0.5 and got[3] < 0.5
 
 
+def test_terms_that_are_toxic_only_apart():
+    """Exclusive or: the shares of either term by itself say nothing, and no weights without factors can tell."""
+    g, rows = np.random.default_rng(1), []
+    for _ in range(4000):
+        a, b = g.random(2) < 0.5
+        rows.append((np.unique(np.array([*[3][: int(a)], *[5][: int(b)], *g.integers(10, 500, 20)])), int(a != b)))
+    model = toxicity_fm.train(rows, bits=9)
+    got = model.scores(np.array([3, 5, 3, 5]), np.array([0, 0, 1, 2, 4]))
+    assert (got >= 0.5).tolist() == [False, True, True, False]
+    flat, bounds = np.concatenate([t for t, _ in rows]), np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
+    y = np.array([y for _, y in rows])
+    plain = toxicity_fm.Model(model.bias, model.weights, np.zeros_like(model.factors), model.bits)
+    assert ((model.scores(flat, bounds) >= 0.5) == y).mean() > 0.99 and ((plain.scores(flat, bounds) >= 0.5) == y).mean() < 0.8
+    assert np.flatnonzero(model.weights).tolist() == [3, 5]
+
+
+def test_scores_are_sums_over_terms_and_pairs(spark, odd):
+    """The machine's formula, pair by pair, over words found apart from the kernel."""
+    g = np.random.default_rng(2)
+    model = toxicity_fm.Model(-1.0, g.normal(0, 0.3, 1 << 12).astype(np.float32), g.normal(0, 0.2, (1 << 12, 3)).astype(np.float32), 12)
+    rows = [r for r in odd_rows() if r[1] is None or len(r[1]) < 2000]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("toxicity", F.lit("mine"))
+    scored = toxicity_fm.score(docs, model)
+    assert scored.columns == docs.columns
+    for r in scored.collect():
+        words = sorted(set(brute.ALNUM.findall((r.text or "").lower())))
+        terms = sorted({int(toxicity_fm.hashed_terms(pa.array([w]), 12)[0][0]) for w in words})
+        z = model.bias + sum(float(model.weights[i]) for i in terms)
+        z += sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(terms) for j in terms[:n])
+        assert abs(r.toxicity - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    """Nulls, blanks, long texts and repeats are scored; repeated ids bring one text each to the driver."""
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(16)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    for docs in (odd, odd.union(odd).union(odd)):
+        model = toxicity_fm.fit_on_labels(spark, docs, labels)
+        got = toxicity_fm.score(docs, model).collect()
+        assert len(got) == docs.count() and all(0 <= r.toxicity <= 1 for r in got)
+    assert toxicity_fm.score(none, toxicity_fm.fit_on_labels(spark, none, labels)).count() == 0
+
+
+def test_language_by_dictionaries(spark, odd):
+    """Naive Bayes with a dictionary of n-grams per language, over the same rows; every language is learned, however rare."""
+    import re
+
+    rows = [(i, t, lang, None, None, None, None, None, None) for i, (t, lang) in enumerate([(f"the cat {i} and the dog", "en") for i in range(60)] + [(f"der Hund {i} und die Katze", "de") for i in range(40)] + [("kissa ja koira", "fi"), (None, "en"), ("the", None), ("  1 2 !", "en")])]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("mine"))
+    model = language_id.fit(docs)
+
+    def grams(text):
+        t = re.sub(r"[^a-z]+", " ", text.lower() + " ")
+        return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if n > 1 or t[i] != " "]
+
+    bucket = lambda x: sum((ord(c) * 0x110000 ** (len(x) - 1 - i)) for i, c in enumerate(x)) % 2**64 * (0x9E3779B97F4A7C15 + 2 * len(x)) % 2**64 >> 50
+    counts, docs_of = {}, {}
+    for _, t, lang, *_ in rows:
+        if t is not None and lang is not None:
+            docs_of[lang] = docs_of.get(lang, 0) + 1
+            for x in grams(t):
+                counts.setdefault(lang, {}).setdefault(bucket(x), 0)
+                counts[lang][bucket(x)] += 1
+    langs = sorted(counts)
+    got = language_id.identify(docs, model)
+    assert got.columns == [*[c for c in docs.columns if c != "score"], "lang_pred", "score"] and model.langs == langs == ["de", "en", "fi"]
+    for r in got.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        mine = [bucket(x) for x in grams(r.text)]
+        logit = [(np.log(docs_of[x] / sum(docs_of.values())) + sum(np.log((counts[x].get(b, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * 2**14)) for b in mine)) / len(mine) ** 0.5 for x in langs]
+        post = np.exp(logit - max(logit)) / np.exp(logit - max(logit)).sum()
+        assert r.lang_pred == langs[int(post.argmax())] and abs(r.score - post.max()) < 1e-6
+    assert {r.doc_id: r.lang_pred for r in got.collect()}[100] == "fi"
+
+
 def test_fingerprints(spark, odd, none):
     got = cws_fingerprint.compare_with_next(odd, Scratch(spark, "t")).toPandas()
     assert len(got) == len(odd_rows()) and got.near_edited.between(0, 1).all()
@@ -376,6 +452,44 @@ def test_fingerprints(spark, odd, none):
         want = cws_fingerprint.edited(rows[r.doc_id][1], rows[(r.doc_id + 1) % 40][1])
         assert r.edited_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_chars == len(rows[r.doc_id][1])
     assert cws_fingerprint.compare_with_next(none, Scratch(spark, "t")).count() == 0
+    named = odd.withColumn("fingerprint", F.lit("mine"))
+    assert cws_fingerprint.fingerprint(named).columns == named.columns
+
+
+def test_fingerprints_by_one_term_at_a_time(spark, driver_rows):
+    """The registered query against samples drawn term by term, in plain numbers, and texts edited apart from the operator."""
+    rows = sorted(driver_rows)[:12]
+    m, mask = cws_fingerprint.SAMPLES, 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def samples(text):
+        terms, count, _ = cws_fingerprint.weighted_terms(pa.array([text]))
+        best = [(np.inf, None)] * m
+        for term, n in zip(terms.tolist(), count.tolist()):
+            v = np.array([mix((term + k * 0xD1342543DE82EF95) & mask) for k in range(1, 2 * m + 1)], np.uint64).view(np.uint32)
+            u = ((v >> np.uint32(8)) | np.uint32(1)).astype(np.float64) / 2**24
+            b = ((v[:m] << np.uint32(16)) ^ (v[m : 2 * m] << np.uint32(8)) ^ v[2 * m : 3 * m]) & np.uint32(0xFFFFFF)
+            r, c, b = -np.log(u[:m] * u[m : 2 * m]), -np.log(u[2 * m : 3 * m] * u[3 * m :]), b / 2**24
+            t = np.floor(np.log(n) / r + b)
+            a = np.log(c) - r * (t - b) - r
+            best = [min(x, (y, (term, int(z))), key=lambda q: q[0]) for x, y, z in zip(best, a, t)]
+        return [x for _, x in best]
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in cws_fingerprint.compare_with_next(docs, Scratch(spark, "t")).collect()}
+    assert {r.doc_id for r in queries.op10_cws_fingerprint(spark, DIR).collect()} == {k for k, _ in driver_rows}
+    of = {k: samples(t) for k, t in rows}
+    for n, (key, text) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        half = len(text) // 2
+        changed = samples(text[: len(text) - half] + following[:half])
+        gap = 2 / m  # 32-bit logarithms may turn a near tie
+        assert abs(got[key].near_edited - np.mean([x == y for x, y in zip(of[key], changed)])) <= gap
+        assert abs(got[key].near_next - np.mean([x == y for x, y in zip(of[key], of[rows[(n + 1) % len(rows)][0]])])) <= gap
 
 
 def test_likeness_estimates_generalised_jaccard():
