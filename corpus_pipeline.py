@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweft.llm import best_fit_packing, minhash_dedup, source_mix, substring_dedup, toxicity_fm
-from lumenweft.llm._shared import Scratch, read_table
+from lumenweft.llm._shared import Scratch, free_name, read_table
 from lumenweft.llm.queries import byte_bpe_path
 
 #: Documents at or over this score go.
@@ -23,7 +23,8 @@ PASSAGE_WORDS, SHINGLE_WORDS, SIMILARITY = 35, 5, 0.8
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the factorization machine scores as toxic; it learns from the labelled rows of sf_dir."""
     model = toxicity_fm.fit_on_labels(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return toxicity_fm.score(docs, model).filter(F.col("toxicity") < TOXIC).drop("toxicity")
+    column = free_name(docs.columns, "toxicity")
+    return toxicity_fm.score(docs, model, column).filter(F.col(column) < TOXIC).drop(column)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
