@@ -11,7 +11,7 @@ in a long list every member is held against one pivot, so a group of n copies
 gives n links and not n**2. Members of lists that are not in one component yet are compared
 across components by prefixes of their whole sets, an exact filter: the smaller set of a pair
 needs a shared value in its first ninth (at 0.8), the larger in its first fifth, which leaves out, before any join, texts
-with a larger share of their own. Lists are joined by merging, so that Spark can split a long one. The
+with a larger share of their own. Lists are joined by merging, with tables written before, so that Spark can split a long one. The
 union-sketch estimate drops what is clearly below the threshold; the exact Jaccard
 index on full shingle sets, made anew from the text, confirms the rest.
 Components come from minimum labels with pointer jumping over DataFrames.
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     sizes = heads.select("node", "n_shingles", "need", F.size("sketch").alias("s"))
     prefix = scratch.table(_prefixes(heads.select("node", F.explode("sketch").alias("v")), sizes), "prefix")
     # The pivot is the member with the fewest values of its own: a text that was copied, rather than an edited copy.
-    listed = prefix.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("p")).filter("n > 1")
+    listed = scratch.table(prefix.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n_shingles").alias("pn"))).alias("p")).filter("n > 1"), "listed")
     entries = scratch.table(prefix.hint("merge").join(listed, "v").select("v", "node", "n_shingles", "need", "n", "p.pivot", "p.pn"), "entries")
 
     def alike(x: str, y: str):
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     roots = components(scratch, links, "cc0")
     # Long lists whose members are in several components yet: their members are compared by prefixes of whole sets.
     named = scratch.table(long_lists.select("v", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    split = named.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("v")
+    split = scratch.table(named.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("v"), "split")
     members = scratch.table(named.hint("merge").join(split, "v").select("node", "n_shingles", "root").distinct(), "members")
     scratch.release()
     if not members.isEmpty():
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
             lists = _open_lists(prefix, roots, scratch, f"open{i}")
             if lists.isEmpty():
                 break
-            more = _across(lists, percent) if i == MERGE_ROUNDS else _nearest(lists, percent, i)
+            more = _across(lists, percent) if i == MERGE_ROUNDS else _nearest(lists, scratch, i)
             found = _confirm(held, heads, more, scratch, width, percent, k, f"m{i}")
             links = scratch.table(links.union(found), f"links{i}")
             roots = components(scratch, links, f"mc{i}")
@@ -224,10 +224,10 @@ def _open_lists(prefix: DataFrame, roots: DataFrame, scratch: Scratch, name: str
     rooted = scratch.table(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{name}-rooted")
     per_root = rooted.groupBy("v", "root").agg(F.count("*").alias("c"))
     major = per_root.groupBy("v").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("v", F.col("x.root").alias("major"))
-    return scratch.table(rooted.hint("merge").join(major, "v"), name)
+    return scratch.table(rooted.hint("merge").join(scratch.table(major, f"{name}-major"), "v"), name)
 
 
-def _nearest(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+def _nearest(lists: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
     """A few pairs (a, b) per member outside its list's most common component: enough to merge what is close, linear in the lists.
 
     A list offers its member with the fewest shingles of its own, inside and outside the most common
@@ -237,7 +237,7 @@ def _nearest(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     least, drawn = F.struct("alone", F.xxhash64("node").alias("h"), "node", "root"), F.struct(F.xxhash64("node", "v", F.lit(turn)).alias("h"), "node", "root")
     ends = lists.groupBy("v").agg(F.min(F.when(mine, least)).alias("p"), F.min(F.when(~mine, least)).alias("q"), F.min(F.when(~mine, drawn)).alias("r"))
     ends = ends.select("v", F.explode(F.array(*[F.struct(f"{x}.node", f"{x}.root") for x in "pqr"])).alias("e")).select("v", F.col("e.node").alias("other"), F.col("e.root").alias("other_root"))
-    tried = lists.filter(mine).select("v", "node", "root").hint("merge").join(ends, "v").filter("root != other_root").groupBy("node", "other").agg(F.count("*").alias("c"))
+    tried = lists.filter(mine).select("v", "node", "root").hint("merge").join(scratch.table(ends, f"ends{turn}"), "v").filter("root != other_root").groupBy("node", "other").agg(F.count("*").alias("c"))
     order = F.struct("c", F.xxhash64("node", "other", F.lit(turn)).alias("h"), "other")
     best = tried.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, PARTNERS).alias("x"))
     return best.select("node", F.explode("x.other").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
