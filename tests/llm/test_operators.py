@@ -193,6 +193,23 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert exact_topk.top_k(x.limit(0), x.limit(0), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize(("dims", "most"), [(2, 0.2), (4, 0.5), (48, 1.0)])
+def test_boxes_prune_in_few_dimensions(dims, most):
+    """Scores and ties by brute force, and the share of rows that a query is held against."""
+    g = np.random.default_rng(dims)
+    vectors = g.integers(-300, 300, (6000, dims))
+    ids, queries = g.permutation(6000), np.arange(100)
+    tree = exact_topk.Tree(ids, vectors.astype(np.float64), 64)
+    scores, found = np.zeros((100, 5)), np.full((100, 5), exact_topk.NONE)
+    asked = np.array([vectors[np.flatnonzero(ids == i)[0]] for i in queries], np.float64)
+    tree.search(asked, queries, scores, found)
+    for i, q in enumerate(asked):
+        s = vectors @ q.astype(int)
+        want = [(j, x) for x, j in sorted((-x, j) for x, j in zip(s.tolist(), ids.tolist()) if j != queries[i])[:5] for x in (-x,)]
+        assert list(zip(found[i].tolist(), scores[i].tolist())) == want
+    assert tree.read <= most * 100 * 6000
+
+
 def test_mix(spark, odd, none):
     plan = source_mix.mix_plan(odd, Scratch(spark, "t")).toPandas()
     sizes = {}
