@@ -1 +1 @@
-
+"""Column expressions that Spark has no function for."""

@@ -55,30 +55,26 @@ def benjamini_hochberg(df: DataFrame, p: str, ranges: int = 256) -> DataFrame:
     return df.join(q, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks per group with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, ranges: int = 256) -> DataFrame:
+    """Ranks of numbers per group with ties at their mean; nulls have no rank.
+
+    Equal values are counted first; counts are summed inside ``ranges`` parts of the value at approximate quantiles, on
+    top of sums over the parts, so no task holds a group, and the cuts don't change results.
+    """
+    valid = df.filter(F.col(value).isNotNull())
+    cuts = valid.filter(~F.isnan(F.col(value).cast("double"))).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []  # at most ``ranges`` numbers
+    cuts = F.array(*[F.lit(c) for c in sorted({float(c) for c in cuts})]).cast("array<double>")
+    each = valid.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_part", F.size(F.filter(cuts, lambda c: c < F.col("_v").cast("double"))))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("e").join(parts.alias("p"), [F.expr(f"e.`{k}` <=> p.`{k}`") for k in [*keys, "_part"]])
+    ranked = ranked.select(*[F.col(f"e.`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (F.col("_base") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    on = [F.col(f"_k{i}").eqNullSafe(df[k]) for i, k in enumerate(keys)] + [df[value] == F.col("_v")]
+    return df.join(ranked, on, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
 def factorize(df: DataFrame, column: str, order: str) -> DataFrame:
     """Adds code: 0, 1, ... by first appearance in ``order``."""
     first = df.groupBy(column).agg(F.min(order).alias("o")).withColumn("code", F.row_number().over(Window.orderBy("o")) - 1)
     return df.join(first.drop("o"), column)
-
-
-def t_two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t for whole degrees of freedom, by the finite trigonometric series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    c2, s, c = F.pow(F.cos(theta), 2), F.sin(theta), F.cos(theta)
-
-    def series(first: int, terms: Column) -> Column:
-        # 1 + a1 c2 + a1 a2 c2**2 + ..., with a_i = (2i - 1 + first) / (2i + first)
-        steps = F.sequence(F.lit(1), terms.cast("int"))
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-        fold = F.aggregate(steps, start, lambda acc, i: F.struct((acc.term * c2 * (2 * i - 1 + first) / (2 * i + first)).alias("term"), (acc["sum"] + acc.term * c2 * (2 * i - 1 + first) / (2 * i + first)).alias("sum")))
-        return F.when(terms >= 1, fold["sum"]).otherwise(1.0)
-
-    even = s * series(0, (df - 2) / 2)
-    odd = F.when(df == 1, 2 * theta / 3.141592653589793).otherwise(2 / 3.141592653589793 * (theta + s * c * series(1, (df - 3) / 2)))
-    return 1 - F.when(df % 2 == 0, even).otherwise(odd)

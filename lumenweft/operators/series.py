@@ -19,9 +19,9 @@ def window_count(length, size: int, step: int, compat: bool = True):
     return F.floor((length - size) / (step + 1 if compat else step)) + (0 if compat else 1)
 
 
-def sliding(df: DataFrame, size: int, step: int, count: int, t: str = "t") -> DataFrame:
-    """A row per sample and window it is in; windows 0..count-1 start at win * step. Each sample finds its windows by arithmetic, without a range join."""
-    low, high = F.greatest(F.lit(0), F.ceil((F.col(t) - size + 1) / step)), F.least(F.lit(count - 1), F.floor(F.col(t) / step))
+def sliding(df: DataFrame, size: int, step: int, count, t: str = "t") -> DataFrame:
+    """A row per sample and window it is in; windows 0..count-1 (a number or a column) start at win * step. Each sample finds its windows by arithmetic, without a range join."""
+    low, high = F.greatest(F.lit(0), F.ceil((F.col(t) - size + 1) / step)), F.least(F.lit(count) - 1, F.floor(F.col(t) / step))
     wins = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
     return df.withColumn("win", F.explode(wins))
 
@@ -33,6 +33,37 @@ def correlations(df: DataFrame, node: str, t: str, value: str, by: list[str] | N
     return a.join(b, [*by, t]).filter("i < j").groupBy(*by, "i", "j").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("w"))
 
 
+def shrunk_correlations(df: DataFrame, by: list[str], node: str, t: str, value: str) -> DataFrame:
+    """by, i, j, w with i < j: correlations from the covariance shrunk towards a multiple of the identity (Ledoit and Wolf).
+
+    Every node has the same samples t. The shrinkage of a group follows from sums over its edges and samples alone.
+    """
+    means = df.groupBy(*by, node).agg(F.avg(value).alias("_m"))
+    x = df.join(means, [*by, node]).select(*by, F.col(t).alias("_t"), F.col(node).alias("_node"), (F.col(value) - F.col("_m")).alias("_x"))
+    a, b = (x.select(*by, "_t", F.col("_node").alias(n), F.col("_x").alias(v)) for n, v in (("_i", "_a"), ("_j", "_b")))
+    cov = a.join(b, [*by, "_t"]).filter("_i <= _j").groupBy(*by, "_i", "_j").agg(F.avg(F.col("_a") * F.col("_b")).alias("_s"))
+    fourth = x.groupBy(*by, "_t").agg(F.sum(F.col("_x") * F.col("_x")).alias("_q")).groupBy(*by).agg(F.count("*").alias("_n"), F.sum(F.col("_q") * F.col("_q")).alias("_fourth"))
+    own, s, p = F.col("_i") == F.col("_j"), F.col("_s"), F.col("_p")
+    sums = cov.groupBy(*by).agg(F.sum(F.when(own, s)).alias("_trace"), F.sum(s * s * F.when(own, 1).otherwise(2)).alias("_squares"), F.count(F.when(own, 1)).alias("_p"))
+    mu = F.col("_trace") / p
+    delta = (F.col("_squares") - mu * F.col("_trace")) / p
+    beta = F.least((F.col("_fourth") / F.col("_n") - F.col("_squares")) / (p * F.col("_n")), delta)
+    level = sums.join(fourth, by).select(*by, mu.alias("_mu"), F.when(beta > 0, beta / delta).otherwise(0.0).alias("_k"))
+    var = cov.filter(own).select(*by, F.col("_i").alias("_node"), s.alias("_v"))
+    e = cov.filter("_i < _j").join(level, by)
+    for n in ("_i", "_j"):
+        e = e.join(var.withColumnRenamed("_node", n).withColumnRenamed("_v", f"_v{n}"), [*by, n])
+    kept, added = 1 - F.col("_k"), F.col("_k") * F.col("_mu")
+    scale = F.sqrt((kept * F.col("_v_i") + added) * (kept * F.col("_v_j") + added))
+    return e.select(*by, F.col("_i").alias("i"), F.col("_j").alias("j"), F.try_divide(kept * s, scale).alias("w"))
+
+
+def mix_components(sources: DataFrame, mixing: DataFrame, excluded: DataFrame) -> DataFrame:
+    """channel, t, value: sources (component, t, value) through mixing (channel, component, weight) without the excluded components."""
+    kept = mixing.join(excluded.select("component"), "component", "left_anti")
+    return sources.join(kept, "component").groupBy("channel", "t").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+
 def detrend(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """Value minus its least-squares line in t, per series."""
     w = Window.partitionBy(*keys)
@@ -111,6 +142,10 @@ def resample(df: DataFrame, keys: list[str], rate: float, to: float) -> DataFram
         keep = np.zeros(n // 2 + 1, complex)
         m = min(len(keep), len(spectrum))
         keep[:m] = spectrum[:m]
+        # The bin at half of the lower rate stands for both signs of its frequency there, and for one at the higher rate.
+        half = min(n, len(x))
+        if half % 2 == 0 and n != len(x):
+            keep[half // 2] *= 2 if n < len(x) else 0.5
         out = np.fft.irfft(keep, n) * n / len(x)
         head = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame({**head, "t": np.arange(n), "value": out})[list(pdf.columns)]
@@ -119,13 +154,18 @@ def resample(df: DataFrame, keys: list[str], rate: float, to: float) -> DataFram
 
 
 def coherence(df: DataFrame, keys: list[str], rate: float, bands: dict[str, tuple[float, float]], tapers: int = 4) -> DataFrame:
-    """keys, band, i, j, w: multitaper (sine tapers) coherence of channels over epochs, averaged per band; columns epoch, channel, t, value."""
+    """keys, band, i, j, w: multitaper (sine tapers) coherence of channels over epochs, averaged per band; columns epoch, channel, t, value.
+
+    Only epochs that every channel of the group has in full count; without any, the group gives no rows.
+    """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube = pdf.pivot_table(index=["epoch", "channel"], columns="t_in", values="value").sort_index()
-        names = sorted(pdf["channel"].unique())
-        x = cube.to_numpy().reshape(-1, len(names), cube.shape[1])
-        n = x.shape[2]
+        names, n = sorted(pdf["channel"].unique()), int(pdf["t_in"].max())
+        cells = pd.MultiIndex.from_product([names, range(1, n + 1)])
+        cube = pdf.pivot_table(index="epoch", columns=["channel", "t_in"], values="value").reindex(columns=cells).dropna()
+        x = cube.to_numpy().reshape(-1, len(names), n)
+        if not len(x):
+            return pd.DataFrame({c: np.array([], dtype=object) for c in [*keys, "band", "i", "j", "w"]}, dtype=object)
         taper = np.sqrt(2 / (n + 1)) * np.sin(np.pi * np.outer(np.arange(1, tapers + 1), np.arange(1, n + 1)) / (n + 1))
         s = np.fft.rfft((x - x.mean(2, keepdims=True))[:, None] * taper[None, :, None], axis=-1)
         cross = np.einsum("etif,etjf->ijf", s, s.conj())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenweft.functions.distributions import t_two_sided_p
 from lumenweft.operators import cohort
 from lumenweft.plans.catalog import query
 from lumenweft.sources.tables import status, table, unfinished
@@ -198,7 +199,7 @@ def ttest_pairs(spark, d):
 @query()
 def ttest_p_values(spark, d):
     """Two-sided p and its adjusted value over all tests as one family."""
-    return cohort.benjamini_hochberg(_t(spark, d).withColumn("p", cohort.t_two_sided_p(F.col("t"), F.col("df"))), "p")
+    return cohort.benjamini_hochberg(_t(spark, d).withColumn("p", t_two_sided_p(F.col("t"), F.col("df"))), "p")
 
 
 @query("with p as (select p_partkey as id, (p_size + p_partkey % 7 * 0.01) / 51 as p from part), r as (select *, row_number() over (order by p, id) k, count(*) over () m from p) select id, round(p, 9) as p, round(least(1.0, min(p * m / k) over (order by k desc rows unbounded preceding)), 9) as q from r")
@@ -304,11 +305,11 @@ def mse(spark, d):
 
 @query()
 def kmeans_groups(spark, d):
-    """k-means over the first four latent values."""
+    """k-means over the latents."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.slice("embedding", 1, 4)).alias("features"))
+    x = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
     return KMeans(k=3, seed=42).fit(x).transform(x).select("vec_id", F.col("prediction").alias("cluster"))
 
 

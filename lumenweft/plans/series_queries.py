@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lumenweft.operators import series as S
 from lumenweft.plans.catalog import query
-from lumenweft.plans.inputs import SERIES, seconds, series
+from lumenweft.plans.inputs import RECORDINGS, SERIES, recordings, seconds, series
 from lumenweft.sources.tables import table
 
 R6 = lambda c: F.round(c, 6)
 EDGES = f"select a.node as i, b.node as j, corr(a.v, b.v) as w from {SERIES} a join {SERIES} b on a.t = b.t and a.node < b.node group by 1, 2"
-BINS, SIZE, STEP = 180, 10, 1
-WINS = (BINS - SIZE) // (STEP + 1)
+SIZE, STEP = 10, 1
+WINS = f"(select unnest(range(n)) as win from (select (max(t) + 1 - {SIZE}) // ({STEP} + 1) as n from {SERIES}))"
 SPIKES = "(select user_id as neuron, epoch(ts) - 1704067200 as t from events)"
 
 
@@ -30,17 +30,19 @@ def static_connectivity(spark, d):
     return _edges(spark, d).withColumn("w", R6("w"))
 
 
-@query(f"with w as (select node, win, t, v from {SERIES} s join (select unnest(range({WINS})) win) on t between win * {STEP} and win * {STEP} + {SIZE} - 1) select a.win::int as win, a.node as i, b.node as j, round(case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then corr(a.v, b.v) end, 6) as w from w a join w b on a.win = b.win and a.t = b.t and a.node < b.node group by 1, 2, 3")
+@query(f"with w as (select node, win, t, v from {SERIES} s join {WINS} on t between win * {STEP} and win * {STEP} + {SIZE} - 1) select a.win::int as win, a.node as i, b.node as j, round(case when stddev_pop(a.v) > 0 and stddev_pop(b.v) > 0 then corr(a.v, b.v) end, 6) as w from w a join w b on a.win = b.win and a.t = b.t and a.node < b.node group by 1, 2, 3")
 def sliding_connectivity(spark, d):
-    wins = S.sliding(series(spark, d), SIZE, STEP, WINS)
+    wins = S.sliding(series(spark, d), SIZE, STEP, S.window_count(F.col("bins"), SIZE, STEP))
     return S.correlations(wins, "node", "t", "v", ["win"]).withColumn("w", R6("w"))
 
 
-@query(f"select node, win::int as win, count(*) as n, round(avg(v), 6) as mean from {SERIES} s join (select unnest(range(8)) win) on t between win * 22 and win * 22 + 29 where win * 22 + 30 < {BINS} group by 1, 2")
+@query(
+    f"with b as (select max(t) + 1 as bins from {SERIES}), w as (select bins, unnest(range(bins)) as win from b)"
+    f" select node, win::int as win, count(*) as n, round(avg(v), 6) as mean from {SERIES} s join w on t between win * 22 and win * 22 + 29 where win * 22 + 30 < bins group by 1, 2"
+)
 def overlap_windows(spark, d):
     """Windows of 30 bins, hop 22, while start + length < total."""
-    count = len(range(0, BINS - 30, 22))
-    return S.sliding(series(spark, d), 30, 22, count).groupBy("node", "win").agg(F.count("*").alias("n"), R6(F.avg("v")).alias("mean"))
+    return S.sliding(series(spark, d), 30, 22, F.ceil((F.col("bins") - 30) / 22)).groupBy("node", "win").agg(F.count("*").alias("n"), R6(F.avg("v")).alias("mean"))
 
 
 @query(f"select node, cast(t // 6 as int) as epoch, round(avg(v), 6) as mean from {SERIES} group by 1, 2 having count(*) = 6")
@@ -206,22 +208,50 @@ def isi_cv(spark, d):
     return x.groupBy("neuron").agg(R6(F.try_divide(F.stddev_pop("isi"), F.avg("isi"))).alias("cv"))
 
 
-#: Length of the recording.
-DAYS = 30
-
-
-@query(f"with n as (select distinct neuron from {SPIKES}), g as (select neuron, b from n, (select unnest(range({DAYS})) b)), c as (select neuron, cast(floor(t / 86400) as bigint) b, count(*) k from {SPIKES} group by 1, 2), f as (select g.neuron, g.b, coalesce(k, 0)::double k from g left join c on g.neuron = c.neuron and g.b = c.b) select x.neuron as i, y.neuron as j, round(corr(x.k, y.k), 6) + 0.0::double as w from f x join f y on x.b = y.b and x.neuron < y.neuron group by 1, 2")
+@query(
+    f"with n as (select distinct neuron from {SPIKES}), d as (select unnest(range(lo, hi + 1)) as b from (select min(floor(t / 86400))::bigint as lo, max(floor(t / 86400))::bigint as hi from {SPIKES})),"
+    f" g as (select neuron, b from n, d), c as (select neuron, cast(floor(t / 86400) as bigint) b, count(*) k from {SPIKES} group by 1, 2),"
+    " f as (select g.neuron, g.b, coalesce(k, 0)::double k from g left join c on g.neuron = c.neuron and g.b = c.b)"
+    " select x.neuron as i, y.neuron as j, round(corr(x.k, y.k), 6) + 0.0::double as w from f x join f y on x.b = y.b and x.neuron < y.neuron group by 1, 2"
+)
 def spike_corr(spark, d):
-    """Correlation of daily spike counts of all neurons, empty bins counted as 0."""
-    spikes = _spikes(spark, d)
-    grid = spikes.select("neuron").distinct().select("neuron", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAYS - 1).cast("long"))).alias("b"))
-    c = spikes.groupBy("neuron", F.floor(F.col("t") / 86400).cast("long").alias("b")).agg(F.count("*").alias("k"))
+    """Correlation of daily spike counts of all neurons over the days from the first to the last spike, empty ones counted as 0."""
+    spikes = _spikes(spark, d).withColumn("b", F.floor(F.col("t") / 86400).cast("long"))
+    days = spikes.agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("b"))  # a row per day
+    grid = spikes.select("neuron").distinct().crossJoin(F.broadcast(days))
+    c = spikes.groupBy("neuron", "b").agg(F.count("*").alias("k"))
     full = grid.join(c, ["neuron", "b"], "left").withColumn("k", F.coalesce("k", F.lit(0)).cast("double"))
     return S.correlations(full, "neuron", "b", "k").withColumn("w", R6("w") + 0.0)  # -0.0 becomes 0.0
 
 
+@query(
+    f"with x as (select subject, node, t, v - avg(v) over (partition by subject, node) as x from {RECORDINGS}),"
+    " s as (select a.subject, a.node as i, b.node as j, avg(a.x * b.x) as s from x a join x b on a.subject = b.subject and a.t = b.t group by 1, 2, 3),"
+    " f as (select subject, count(*) as n, sum(q * q) as fourth from (select subject, t, sum(x * x) as q from x group by 1, 2) group by 1),"
+    " m as (select subject, sum(case when i = j then s end) as tr, sum(s * s) as sq, sum((i = j)::int) as p from s group by 1),"
+    " l as (select subject, tr / p as mu, (sq - tr * tr / p) / p as delta, (fourth / n - sq) / (p * n) as beta from m join f using (subject)),"
+    " k as (select subject, mu, case when least(beta, delta) > 0 then least(beta, delta) / delta else 0 end as k from l)"
+    " select e.subject, e.i, e.j, round((1 - k) * e.s / sqrt(((1 - k) * a.s + k * mu) * ((1 - k) * b.s + k * mu)), 6) + 0.0::double as w"
+    " from s e join k using (subject) join s a on a.subject = e.subject and a.i = e.i and a.j = e.i join s b on b.subject = e.subject and b.i = e.j and b.j = e.j where e.i < e.j"
+)
+def shrunk_connectivity(spark, d):
+    """Connectivity per subject from the shrunk covariance."""
+    return S.shrunk_correlations(recordings(spark, d), ["subject"], "node", "t", "v").withColumn("w", R6("w") + 0.0)  # -0.0 becomes 0.0
+
+
+@query(f"select m.i as channel, s.t, round(sum(m.w * s.v) / 1e6, 4) as value from {MATRIX} m join (select dense_rank() over (order by node) - 1 as j, t, v from {SERIES}) s using (j) where j not in (0, 3) group by 1, 2")
+def components_excluded(spark, d):
+    """Channels from components without two of them."""
+    s = series(spark, d)
+    names = s.select("node").distinct().withColumn("component", F.row_number().over(Window.orderBy("node")) - 1)  # one row per event type
+    sources = s.join(F.broadcast(names), "node").select("component", "t", F.col("v").alias("value"))
+    mixing = _matrix(spark, d).select(F.col("i").alias("channel"), F.col("j").alias("component"), F.col("w").alias("weight"))
+    out = S.mix_components(sources, mixing, spark.createDataFrame([(0,), (3,)], "component int"))
+    return out.withColumn("value", F.round(F.col("value") / 1e6, 4))
+
+
 def _long(spark, d):
-    return series(spark, d).select(F.lit(0).alias("subject"), F.col("node").alias("channel"), "t", F.col("v").alias("value"))
+    return recordings(spark, d).select("subject", F.col("node").alias("channel"), "t", F.col("v").alias("value"))
 
 
 @query()
@@ -241,7 +271,7 @@ def resample_series(spark, d):
 
 @query()
 def coherence_bands(spark, d):
-    e = S.epochs(_long(spark, d), 30, ["channel"])
+    e = S.epochs(_long(spark, d), 30, ["subject", "channel"])
     return S.coherence(e, ["subject"], 6.0, {"slow": (0.2, 1.0), "fast": (1.0, 3.0)})
 
 

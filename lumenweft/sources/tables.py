@@ -1,4 +1,4 @@
-"""Readers: parquet tables, UTF-16 questionnaires, .npy arrays."""
+"""Readers and sinks: parquet tables, CSV files, UTF-16 questionnaires, .npy arrays."""
 
 from __future__ import annotations
 
@@ -19,6 +19,16 @@ def questionnaires(spark: SparkSession, paths: str | list[str], schema: str, enc
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", True).option("recursiveFileLookup", True).csv(paths)
 
 
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV files with a header, in UTF-8; empty fields are null."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, one per task; nulls are empty fields, empty texts are quoted."""
+    df.write.mode("overwrite").option("header", True).option("emptyValue", '""').option("escape", '"').csv(path)
+
+
 def file_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path and length of the files below a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumenweft.functions.distributions import t_two_sided_p
 from lumenweft.operators import cohort, latent, series
 from lumenweft.plans import all_oracles, all_queries
 from lumenweft.sources import tables
@@ -39,7 +40,7 @@ def test_runs(spark, name):
 
 @pytest.mark.parametrize("t, df, p", [(2.0, 10, 0.0733880), (2.5, 7, 0.0409922), (12.7062, 1, 0.05)])
 def test_t_p_value(spark, t, df, p):
-    got = spark.range(1).select(cohort.t_two_sided_p(F.lit(t), F.lit(df)).alias("p")).first().p
+    got = spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df)).alias("p")).first().p
     assert got == pytest.approx(p, abs=1e-6)
 
 
@@ -143,6 +144,108 @@ def test_clean_series(spark):
     assert np.allclose(got, np.fft.irfft(np.where((f >= 1) & (f <= 10), spectrum, 0), 200), atol=1e-6)
 
 
+def spectra(x, tapers=4):
+    n = x.shape[1]
+    w = [np.sqrt(2 / (n + 1)) * np.sin(np.pi * k * np.arange(1, n + 1) / (n + 1)) for k in range(1, tapers + 1)]
+    return [np.fft.rfft((row - row.mean()) * t) for row in x for t in w]
+
+
+def test_coherence_of_ragged_epochs(spark):
+    """Epochs that a channel lacks, or has in part, count for none; the others pair by epoch."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3, 6, 20))
+    x[1] += x[0]
+    gone = {(0, 1), (1, 3), (2, 3)}
+    rows = [(s, e, c, e * 20 + t, float(x[c, e, t])) for s in (0, 1) for c in range(3) for e in range(6) for t in range(20) if s or (c, e) not in gone]
+    rows = [y for y in rows if not (y[0] == 0 and y[1] == 4 and y[2] == 1 and y[3] % 20 > 15)]
+    df = spark.createDataFrame(rows, "subject int, epoch int, channel int, t int, value double").repartition(4)
+    got = {(g.subject, g.i, g.j): g.w for g in series.coherence(df, ["subject"], 20.0, {"all": (2.0, 8.0)}).collect()}
+    f = np.fft.rfftfreq(20, 1 / 20)
+    pick = (f >= 2) & (f <= 8)
+    for s, kept in ((0, [0, 2, 5]), (1, range(6))):
+        z = [np.array(spectra(x[c][list(kept)])) for c in range(3)]
+        for i in range(3):
+            for j in range(i):
+                w = np.abs((z[i] * z[j].conj()).sum(0)) / np.sqrt((np.abs(z[i]) ** 2).sum(0) * (np.abs(z[j]) ** 2).sum(0))
+                assert got[s, i, j] == pytest.approx(w[pick].mean(), abs=1e-9)
+    assert series.coherence(df.filter("channel = 0 or epoch = 1"), ["subject"], 20.0, {"all": (2.0, 8.0)}).filter("subject = 0").count() == 0
+
+
+def test_notch_and_resample(spark):
+    """A notch takes its frequency and leaves the others; a resampled sine is the sine at the new rate, at its Nyquist bin as well."""
+    t = np.arange(200)
+    wave = lambda f, rate, n: np.cos(2 * np.pi * f * np.arange(n) / rate)
+    x = spark.createDataFrame(pd.DataFrame({"k": 0, "t": t, "value": wave(5, 100, 200) + wave(20, 100, 200)}))
+    assert np.allclose(series.notch(x, ["k"], 100.0, 20.0).orderBy("t").toPandas()["value"], wave(5, 100, 200), atol=1e-9)
+    for to, n in ((50.0, 100), (150.0, 300), (40.0, 80)):
+        got = series.resample(x, ["k"], 100.0, to).orderBy("t").toPandas()["value"]
+        want = wave(5, to, n) + (wave(20, to, n) if to >= 40 else 0)
+        assert np.allclose(got, want, atol=1e-9), to
+
+
+def test_independent_components_are_found(spark):
+    t = np.arange(600)
+    s = np.stack([np.sign(np.sin(t / 7)), (t % 37) / 37 - 0.5])
+    x = np.array([[1.0, 0.5], [0.3, -1.0], [0.8, 0.2]]) @ (s - s.mean(1, keepdims=True))
+    rows = spark.createDataFrame([(0, c, int(k), float(x[c, k])) for c in range(3) for k in t], "subject int, channel int, t int, value double")
+    got = series.fast_ica(rows, ["subject"], 2).toPandas().pivot(index="component", columns="t", values="value").to_numpy()
+    match = np.abs(np.corrcoef(np.concatenate([got, s]))[:2, 2:])
+    assert (match.max(0) > 0.98).all() and (match.max(1) > 0.98).all()
+
+
+def test_clusters_and_components_of_the_latents(spark):
+    folder = "/root/testdata/sf0.01"
+    e = tables.table(spark, folder, "embeddings").toPandas().sort_values("vec_id")
+    x = np.stack(e["embedding"]).astype(float)
+    cluster = all_queries()["kmeans_groups"](spark, folder).toPandas().sort_values("vec_id")["cluster"].to_numpy()
+    centres = np.stack([x[cluster == k].mean(0) for k in range(3)])
+    near = ((x[:, None] - centres) ** 2).sum(2)
+    assert (near.argmin(1) == cluster).mean() > 0.95 and near.min(1).sum() < ((x - x.mean(0)) ** 2).sum()
+    pc = np.stack(all_queries()["pca_2d"](spark, folder).toPandas().sort_values("vec_id")["pc"])
+    flat = x - x.mean(0)
+    want = flat @ np.linalg.svd(flat, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs(pc), np.abs(want), atol=1e-4)
+
+
+def test_ranks_with_ties_nulls_and_many_ranges(spark):
+    r = np.random.default_rng(6)
+    rows = [("a" if i % 3 else None, float(x)) for i, x in enumerate(np.round(r.random(300), 2))] + [("a", None), (None, None)]
+    x = spark.createDataFrame(rows, "g string, v double")
+    want = pd.DataFrame(rows, columns=["g", "v"]).fillna({"g": "none"}).assign(r=lambda f: f.groupby("g")["v"].rank())
+    for ranges in (1, 5, 256):
+        got = cohort.average_rank(x, ["g"], "v", "r", ranges).toPandas().fillna({"g": "none"})
+        a, b = (f[["g", "v", "r"]].sort_values(["g", "v"]).reset_index(drop=True) for f in (got, want))
+        pd.testing.assert_frame_equal(a, b)
+
+
+def test_shrunk_correlations(spark):
+    """Against the estimator's formula in matrices."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(30, 5)) @ r.normal(size=(5, 5))
+    rows = spark.createDataFrame([(0, c, t, float(x[t, c])) for t in range(30) for c in range(5)], "s int, c int, t int, v double")
+    z = x - x.mean(0)
+    cov, n, p = z.T @ z / 30, 30, 5
+    mu, d2 = np.trace(cov) / p, (cov**2).sum() - np.trace(cov) ** 2 / p
+    b2 = sum(((np.outer(row, row) - cov) ** 2).sum() for row in z) / n**2
+    k = min(b2, d2) / d2
+    s = (1 - k) * cov + k * mu * np.eye(p)
+    got = {(g.i, g.j): g.w for g in series.shrunk_correlations(rows, ["s"], "c", "t", "v").collect()}
+    assert 0 < k < 1 and all(got[i, j] == pytest.approx(s[i, j] / np.sqrt(s[i, i] * s[j, j])) for i in range(p) for j in range(i + 1, p))
+
+
+def test_files_and_sinks(spark, tmp_path):
+    """A listing, tables written again in part, and a table as CSV."""
+    x = spark.createDataFrame([("a", 1, 1.5), ("b", 2, None)], "g string, k int, v double")
+    tables.write_resumable(x, str(tmp_path / "out"), "g")
+    tables.write_resumable(x.filter("g = 'b'").withColumn("k", F.lit(7)), str(tmp_path / "out"), "g")
+    assert sorted((r.g, r.k) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 7)]
+    assert [r.g for r in tables.unfinished(x, spark.createDataFrame([("a",)], "g string"), "g").collect()] == ["b"]
+    tables.write_csv(x, str(tmp_path / "csv"))
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "csv"), x.schema).collect())) == sorted(map(tuple, x.collect()))
+    found = tables.file_catalog(spark, str(tmp_path / "csv"), "*.csv").collect()
+    assert found and all(r.path.endswith(".csv") and r.length > 0 for r in found)
+
+
 def test_drawn_noise_is_standard(spark):
     z = latent.reparameterize(spark.range(4000).selectExpr("1.0D as mu", "0.0D as lv"), "mu", "lv").agg(F.avg("z"), F.stddev("z")).first()
     assert z[0] == pytest.approx(1, abs=0.1) and z[1] == pytest.approx(1, abs=0.1)
