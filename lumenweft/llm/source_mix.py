@@ -70,7 +70,8 @@ def mix_plan(docs: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, most:
 
 def _plan(rows: DataFrame, scratch: Scratch, weights: tuple, most: int, ramps: tuple) -> DataFrame:
     """``rows``: doc_id, text, source and others. All but text, with place, size, source_size, target, positions, copies."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    words = F.split(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", " " * 5), " ")
+    size = F.size(F.filter(words, lambda w: w != "")).cast("long")
     place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     # Keys that equal themselves: null sources must join, too.
     sized = rows.withColumns({"size": size, "place": place, "named": F.col("source").isNotNull(), "key": F.coalesce("source", F.lit(""))}).drop("text", "source")
