@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from lumenweft.llm._shared import U64, prepare, row_tags, slices
 
 BITS = 14
-#: Rows a language; up to 1000 Spark cuts each task's candidates before it shuffles them.
+#: Rows a language.
 SAMPLE = 1_000
 
 
@@ -106,10 +106,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, smoothing:
                 yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
 
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "lang", "text").withColumns(row_tags())
-    docs = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("tag_a").alias("m")).collect()  # one row per language
+    docs = {r.lang: r.n for r in found}
     # The sample's tags are a table of bounded size; the texts are not sorted. Repeated rows are learned from once.
+    # Only hashes below a bound that some 4 * sample different rows of a language have go to the task that ranks them.
+    ends = [(r.lang, min((1 << 63) - 1, (1 << 64) * 4 * sample // max(r.m, 1) - (1 << 63))) for r in found]
+    low = rows.select("lang", "tag_a", "tag_b").join(F.broadcast(rows.sparkSession.createDataFrame(ends, "lang string, last long")), "lang").filter("tag_a <= last").drop("last")
     order = Window.partitionBy("lang").orderBy("tag_a", "tag_b")
-    few = rows.select("lang", "tag_a", "tag_b").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n")
+    few = low.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n")
     chosen = rows.join(F.broadcast(few), ["lang", "tag_a", "tag_b"], "left_semi").groupBy("lang", "tag_a", "tag_b").agg(F.first("text").alias("text")).select("lang", "text")
     counts = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table: dict[str, np.ndarray] = {}
