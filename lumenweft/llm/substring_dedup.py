@@ -10,7 +10,8 @@ copy of a window is made of the same high-level symbols. The kernel tracks, for
 each window, which symbols follow from the window's own words alone; the longest
 of these (ties: smallest name) is the window's anchor. Equal windows have equal anchors, whatever surrounds
 them. Spark then counts anchors; only windows whose anchor also stands elsewhere
-are verified, by counting (anchor, window hash) keys of 128 bits. Windows without
+are verified, by counting (anchor, window hash) keys; both follow from 64-bit hashes of words, and
+words aren't compared. Windows without
 a sure symbol (inside long runs) are verified directly. No pair of documents or
 occurrences is ever formed, so large groups of copies cost their own size only.
 """
@@ -193,7 +194,7 @@ def _candidate_windows(width: int):
                 lists = part.column("anchors")
                 size = np.diff(lists.offsets.to_numpy())
                 wanted = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
-                # One search over (row, anchor): both are mixed into one key, then compared in full.
+                # One search over (row, anchor): both are mixed into one 64-bit key.
                 whose = np.repeat(np.arange(part.num_rows), size)
                 order = np.lexsort((wanted, whose))
                 wanted, whose = wanted[order], whose[order]
