@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweft.functions.distributions import t_two_sided_p
+
 
 def pivot_fields(long: DataFrame, subject: str, field: str, value: str, fields: list[str]) -> DataFrame:
     """One row per subject and one column per field; the field list is given, so no pass finds it."""
@@ -74,6 +76,25 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str, ranges:
     return df.join(ranked, on, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
+def spearman_block(rows: DataFrame, key: str, left: list[str], right: list[str]) -> DataFrame:
+    """left, right, n, rho, p: rank correlation of each left with each right column, over rows that have all of them.
+
+    ``key`` names a row. All columns are ranked together in long form; p follows from t with n - 2 degrees of freedom.
+    Constant columns have no rho; p is null where n is below 3, and 0 where rho is 1 or -1.
+    """
+    columns = [*left, *right]
+    whole = rows.dropna(subset=columns)
+    long = whole.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("_x"))
+    ranked = average_rank(long.select("_key", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_value")), ["_i"], "_value", "_r")
+    wide = ranked.groupBy("_key").agg(*[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(f"_{i}") for i in range(len(columns))])
+    pairs = [(i, j) for i in range(len(left)) for j in range(len(left), len(columns))]
+    cells = [F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.try_divide(F.covar_pop(f"_{i}", f"_{j}"), F.stddev_pop(f"_{i}") * F.stddev_pop(f"_{j}")).alias("rho")) for i, j in pairs]
+    out = wide.agg(F.count("*").alias("n"), F.array(*cells).alias("_c")).select("n", F.explode("_c").alias("_c")).select("_c.left", "_c.right", "n", "_c.rho")
+    exact = F.abs("rho") > 1 - 1e-12
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    return out.withColumn("p", F.when((F.col("n") > 2) & exact, 0.0).when(F.col("n") > 2, t_two_sided_p(t, F.col("n") - 2)))
+
+
 def factorize(df: DataFrame, column: str, order: str) -> DataFrame:
     """Adds code: 0, 1, ... by first appearance in ``order``."""
     first = df.groupBy(column).agg(F.min(order).alias("o")).withColumn("code", F.row_number().over(Window.orderBy("o")) - 1)

@@ -1,7 +1,4 @@
-"""Latent-space fits: sparse components, sparse canonical pairs over a grid, encoders as weight tables.
-
-Each fit is one task of a grid; data for a fit must fit that task (one row per subject).
-"""
+"""Latent spaces: sparse components, encoders and decoders as weight tables, traversal."""
 
 from __future__ import annotations
 
@@ -39,51 +36,53 @@ def _sparse_loadings(x: np.ndarray, k: int, penalty: float, rounds: int = 100) -
     return np.array(out)
 
 
-def sparse_pair(x: np.ndarray, y: np.ndarray, cut_x: float, cut_y: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the first canonical pair with soft-thresholded weights; cuts are shares of the largest entry."""
-    c = (x - x.mean(0)).T @ (y - y.mean(0))
-    b = np.linalg.svd(c, full_matrices=False)[2][0]
-    for _ in range(rounds):
-        a = c @ b
-        a = _soft(a, cut_x * np.abs(a).max())
-        a /= max(np.linalg.norm(a), 1e-12)
-        new = c.T @ a
-        new = _soft(new, cut_y * np.abs(new).max())
-        new /= max(np.linalg.norm(new), 1e-12)
-        if np.allclose(new, b, atol=1e-9):
-            break
-        b = new
-    return a, b
-
-
-def grid_search(rows: DataFrame, cuts_x: list[float], cuts_y: list[float], folds: int = 5) -> DataFrame:
-    """cut_x, cut_y, score: mean held-out correlation of the first sparse canonical pair per setting.
-
-    ``rows``: id, x (array), y (array). Every (setting, fold) is a task of its own; the data, one row per
-    subject, goes to each of them.
-    """
+def encode(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, column: str = "x") -> DataFrame:
+    """Adds lat: an affine encoder applied with array functions; ``weights`` (k, features) is a model of fixed size."""
+    lat = [F.aggregate(F.zip_with(column, F.array(*[F.lit(float(w)) for w in row]), lambda a, b: a * b), F.lit(float(c)), lambda s, v: s + v) for row, c in zip(weights, bias)]
+    return rows.withColumn("lat", F.array(*lat))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, y = np.stack(pdf["x"]).astype(float), np.stack(pdf["y"]).astype(float)
-        held = (np.arange(len(pdf)) % folds) == pdf["fold"].iloc[0]
-        a, b = sparse_pair(x[~held], y[~held], pdf["cut_x"].iloc[0], pdf["cut_y"].iloc[0])
-        p, q = x[held] @ a, y[held] @ b
-        score = float(np.corrcoef(p, q)[0, 1]) if p.std() > 0 and q.std() > 0 else 0.0
-        return pd.DataFrame({"cut_x": [pdf["cut_x"].iloc[0]], "cut_y": [pdf["cut_y"].iloc[0]], "fold": [pdf["fold"].iloc[0]], "score": [score]})
 
-    def each(name: str, values: list):
-        return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+def layers_table(spark, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """layer, out, inp, weight: dense layers (weights (out, in), bias) as rows; the bias stands at inp = -1."""
+    rows = []
+    for k, (weights, bias) in enumerate(layers):
+        rows += [(k, o, i, float(w)) for o, line in enumerate(weights) for i, w in enumerate(line)] + [(k, o, -1, float(c)) for o, c in enumerate(bias)]
+    return spark.createDataFrame(rows, "layer int, out int, inp int, weight double")
 
-    work = rows.select("*", each("cut_x", cuts_x)).select("*", each("cut_y", cuts_y)).select("*", each("fold", list(range(folds))))
-    scores = work.groupBy("cut_x", "cut_y", "fold").applyInPandas(fit, "cut_x double, cut_y double, fold int, score double")
-    return scores.groupBy("cut_x", "cut_y").agg(F.avg("score").alias("score"))
 
+def read_layers(weights: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The layers of such a table; a model has a fixed size, whatever the rows it is applied to."""
+    out = []
+    for _, part in weights.toPandas().groupby("layer"):
+        wide = part.pivot(index="out", columns="inp", values="weight").fillna(0.0).sort_index().sort_index(axis=1)
+        out.append((wide.drop(columns=-1).to_numpy(), wide[-1].to_numpy()))
+    return out
 
-def encode(rows: DataFrame, weights: np.ndarray, bias: np.ndarray, column: str = "x") -> DataFrame:
-    """Adds lat: an affine encoder applied with array functions; ``weights`` (k, features) is a model of fixed size."""
-    lat = [F.aggregate(F.zip_with(column, F.array(*[F.lit(float(w)) for w in row]), lambda a, b: a * b), F.lit(float(c)), lambda s, v: s + v) for row, c in zip(weights, bias)]
-    return rows.withColumn("lat", F.array(*lat))
+
+def _layer(x: Column, weights: np.ndarray, bias: np.ndarray, active) -> Column:
+    lines = F.array(*[F.struct(F.array(*[F.lit(float(w)) for w in line]).alias("w"), F.lit(float(c)).alias("b")) for line, c in zip(weights, bias)])
+
+    def unit(u: Column) -> Column:
+        out = F.aggregate(F.zip_with(u.w, x, lambda a, b: a * b), u.b, lambda s, v: s + v)
+        return out if active is None else active(out)
+
+    return F.transform(lines, unit)
+
+
+def _bound(x: Column, layer: tuple[np.ndarray, np.ndarray], active) -> Column:
+    return F.transform(x, lambda h: _layer(h, *layer, active))
+
+
+def forward(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], activations: list, column: str, name: str) -> DataFrame:
+    """Adds ``name``: the array ``column`` through dense layers, each followed by its activation (a Column function, or None).
+
+    A layer's input is bound to a name, so that it is computed once and not for every unit.
+    """
+    x = F.array(F.col(column))
+    for layer, active in zip(layers, activations):
+        x = _bound(x, layer, active)
+    x = F.get(x, F.lit(0))
+    return rows.withColumn(name, F.when(F.col(column).isNotNull(), x))
 
 
 def scatter(rows: DataFrame, size: int, column: str = "x") -> tuple[int, np.ndarray, np.ndarray]:

@@ -64,16 +64,72 @@ def mix_components(sources: DataFrame, mixing: DataFrame, excluded: DataFrame) -
     return sources.join(kept, "component").groupBy("channel", "t").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
+def _beside(df: DataFrame, keys: list[str], **sums) -> DataFrame:
+    """Adds aggregates of each row's group; groups are summed map-side, and no task buffers a series."""
+    totals = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[c.alias(n) for n, c in sums.items()])
+    on = [df[k].eqNullSafe(totals[f"_k{i}"]) for i, k in enumerate(keys)]
+    return df.join(totals, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def detrend(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """Value minus its least-squares line in t, per series."""
-    w = Window.partitionBy(*keys)
-    line = F.regr_intercept(value, t).over(w) + F.regr_slope(value, t).over(w) * F.col(t)
-    return df.withColumn("residual", F.col(value) - line)
+    x = _beside(df, keys, _a=F.regr_intercept(value, t), _b=F.regr_slope(value, t))
+    return x.withColumn("residual", F.col(value) - (F.col("_a") + F.col("_b") * F.col(t))).drop("_a", "_b")
 
 
 def zscore(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    x = _beside(df, keys, _a=F.avg(value), _b=F.stddev_samp(value))
+    return x.withColumn("z", F.try_divide(F.col(value) - F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def p2p(df: DataFrame) -> DataFrame:
+    """channel, epoch, p2p: peak-to-peak of each epoch."""
+    return df.groupBy("channel", "epoch").agg((F.max("value") - F.min("value")).alias("p2p"))
+
+
+def p2p_levels(df: DataFrame, levels: list[float]) -> DataFrame:
+    """channel, threshold: quantiles of the channel's peak-to-peak, one row per level."""
+    return p2p(df).groupBy("channel").agg(F.percentile("p2p", F.array(*[F.lit(float(x)) for x in levels])).alias("q")).select("channel", F.explode("q").alias("threshold"))
+
+
+def p2p_thresholds(df: DataFrame, levels: list[float], folds: int = 5) -> DataFrame:
+    """channel, threshold: the peak-to-peak limit per channel, by cross-validation over epochs; columns channel, epoch, t_in, value.
+
+    Candidates are the channel's own quantiles at ``levels``. A candidate's loss is the distance between the mean of the other folds' epochs within the limit and the median of
+    the held-out epochs, averaged over folds; a fold without epochs to average counts as infinite. Ties go to the lower limit.
+    """
+    x = df.join(p2p(df), ["channel", "epoch"]).withColumn("_fold", F.pmod("epoch", F.lit(folds)))
+    tried = x.join(p2p_levels(df, levels).distinct(), "channel").filter("p2p <= threshold")
+    parts = tried.groupBy("channel", "threshold", "t_in", "_fold").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    total = parts.groupBy("channel", "threshold", "t_in").agg(F.sum("_s").alias("_all"), F.sum("_n").alias("_m"))
+    held = x.groupBy("channel", "t_in", "_fold").agg(F.percentile("value", 0.5).alias("_median"))
+    pairs = held.join(total, ["channel", "t_in"]).join(parts, ["channel", "threshold", "t_in", "_fold"], "left")
+    mean = F.try_divide(F.col("_all") - F.coalesce("_s", F.lit(0.0)), F.col("_m") - F.coalesce("_n", F.lit(0)))
+    off = F.coalesce(F.pow(mean - F.col("_median"), F.lit(2)), F.lit(float("inf")))
+    loss = pairs.groupBy("channel", "threshold", "_fold").agg(F.sqrt(F.avg(off)).alias("_l")).groupBy("channel", "threshold").agg(F.avg("_l").alias("_l"))
+    return loss.groupBy("channel").agg(F.min_by("threshold", F.struct("_l", "threshold")).alias("threshold"))
+
+
+def repair(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds repaired; values of epochs beyond their channel's limit become the mean of the channels within theirs at that time.
+
+    Where no channel is within its limit the value is null. Channels without a limit stay as they are.
+    """
+    bad = p2p(df).join(limits, "channel", "left").select("channel", "epoch", F.coalesce(F.col("p2p") > F.col("threshold"), F.lit(False)).alias("repaired"))
+    x = df.join(bad, ["channel", "epoch"])
+    good = x.filter("not repaired").groupBy("epoch", "t_in").agg(F.avg("value").alias("_good"))
+    return x.join(good, ["epoch", "t_in"], "left").withColumn("value", F.when(F.col("repaired"), F.col("_good")).otherwise(F.col("value"))).drop("_good")
+
+
+def resample_affine(voxels: DataFrame, matrix: list[list[float]], shape: tuple[int, int, int]) -> DataFrame:
+    """x, y, z, value on a grid of ``shape``: the nearest voxel (x, y, z, value) under a 3x4 affine from grid to voxels; 0 outside."""
+    nx, ny, nz = shape
+    grid = voxels.sparkSession.range(nx * ny * nz)
+    grid = grid.select((F.col("id") % nx).cast("int").alias("x"), (F.floor(F.col("id") / nx) % ny).cast("int").alias("y"), F.floor(F.col("id") / (nx * ny)).cast("int").alias("z"))
+    at = [F.floor(F.lit(float(a)) * F.col("x") + F.lit(float(b)) * F.col("y") + F.lit(float(c)) * F.col("z") + float(d) + 0.5).cast("int") for a, b, c, d in matrix]
+    source = voxels.select(*[F.col(n).cast("int").alias(f"_{n}") for n in "xyz"], "value")
+    placed = grid.select("x", "y", "z", *[c.alias(f"_{n}") for c, n in zip(at, "xyz")])
+    return placed.join(source, ["_x", "_y", "_z"], "left").select("x", "y", "z", F.coalesce("value", F.lit(0).cast(voxels.schema["value"].dataType)).alias("value"))
 
 
 def clean(df: DataFrame, keys: list[str], rate: float, low: float, high: float) -> DataFrame:

@@ -215,6 +215,26 @@ def spearman_cross(spark, d):
     return x.groupBy("g").agg(R6(F.corr("a", "b")).alias("rho"))
 
 
+_RANKS = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as r{i}" for i, c in enumerate(("s_acctbal", "s_nationkey", "s_suppkey", "s_suppkey % 7")))
+_RHO = " union all ".join(f"select '{a}' as l, '{b}' as r, count(*) as n, corr(r{i}, r{j}) as rho from k" for i, a in enumerate(("balance", "nation")) for j, b in ((2, "key"), (3, "weekday")))
+
+
+@query(
+    f"with k as (select {_RANKS} from supplier), c as ({_RHO}),"
+    " t as (select *, n - 2 as df, atan(abs(rho * sqrt((n - 2) / (1 - rho * rho))) / sqrt(n - 2)) as a from c),"
+    " e as (select j, exp(sum(ln((2.0::double * j - 1) / (2 * j))) over (order by j)) as even, exp(sum(ln(2.0::double * j / (2 * j + 1))) over (order by j)) as odd from (select unnest(range(1, 10000)) as j)),"
+    " s as (select l, r, sum(case when df % 2 = 0 then even else odd end * pow(cos(a), 2 * j)) as s from t join e on j <= (case when df % 2 = 0 then df - 2 else df - 3 end) // 2 group by 1, 2)"
+    " select l as left, r as right, n, round(rho, 6) as rho,"
+    " round(1 - case when df % 2 = 0 then sin(a) * (1 + coalesce(s, 0)) when df = 1 then 2 * a / pi() else 2 / pi() * (a + sin(a) * cos(a) * (1 + coalesce(s, 0))) end, 6) as p"
+    " from t left join s using (l, r)".replace("as left", 'as "left"').replace("as right", 'as "right"')
+)
+def spearman_block(spark, d):
+    """Rank correlations between two blocks of columns, with p."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 7).alias("weekday"))
+    out = cohort.spearman_block(s, "s_suppkey", ["balance", "nation"], ["key", "weekday"])
+    return out.select("left", "right", "n", R6("rho").alias("rho"), R6("p").alias("p"))
+
+
 @query("select label, count(*) as n from embeddings group by 1")
 def group_sizes(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenweft.operators import latent
+from lumenweft.operators import canonical, latent, search
 from lumenweft.plans.catalog import query
 from lumenweft.sources.tables import table
 from lumenweft.streaming.windows import tumbling_mean
@@ -16,14 +16,69 @@ def _halves(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.slice(e, 1, 8).alias("x"), F.slice(e, 9, 6).alias("y"))
 
 
+#: The grid of the sparse canonical search.
+ALPHAS, RATIOS, LATENTS = [0.05, 0.1, 0.3, 0.7, 0.9], [0.05, 0.1, 0.3, 0.7, 0.9], [2, 3, 4]
+#: Features of the two views.
+X, Y = 18, 46
+
+
+def _views(spark, d):
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(e, 1, X).alias("x"), F.slice(e, X + 1, Y).alias("y"))
+
+
 @query()
 def sparse_cca_grid(spark, d):
-    return latent.grid_search(_halves(spark, d).drop("label"), [0.0, 0.3, 0.6], [0.0, 0.3], 5)
+    return canonical.grid_search(_views(spark, d), X, Y, ALPHAS, RATIOS, LATENTS)
 
 
 @query()
 def sparse_cca_best(spark, d):
-    return sparse_cca_grid(spark, d).orderBy(F.desc("score"), "cut_x", "cut_y").limit(1)
+    return sparse_cca_grid(spark, d).orderBy(F.desc("score"), "alpha", "l1_ratio", "latents").limit(1)
+
+
+def _best_pairs(spark, d):
+    best = sparse_cca_best(spark, d).first()
+    return canonical.fit(_views(spark, d), X, Y, best.alpha, best.l1_ratio, best.latents)
+
+
+@query()
+def sparse_cca_projections(spark, d):
+    return canonical.project(_views(spark, d), _best_pairs(spark, d)).select("id", "u", "v")
+
+
+@query()
+def sparse_cca_loadings(spark, d):
+    return canonical.weights_and_loadings(spark, _best_pairs(spark, d))
+
+
+@query()
+def cost_search(spark, d):
+    """Two parameters by a (1+1) strategy against the caller's cost."""
+    return search.one_plus_one(spark, {"rate": (0.0, 4.0), "delay": (-1.0, 1.0)}, lambda p: (p["rate"] - 3) ** 2 + (p["delay"] + 0.5) ** 2, 10, 4)
+
+
+def _dense(sizes: list[int]):
+    """Layers of fixed weights ((3 * out + 5 * in + layer) % 7 - 3) / 10 and biases out / 10."""
+    return [(np.array([[((3 * o + 5 * i + k) % 7 - 3) / 10 for i in range(n)] for o in range(m)]), np.arange(m) / 10) for k, (n, m) in enumerate(zip(sizes, sizes[1:]))]
+
+
+_UNIT = "list_sum(list_transform(range({n}), i -> ((3 * o + 5 * i + {k}) % 7 - 3) / 10.0::double * {x}[i + 1]::double)) + o / 10.0::double"
+
+
+@query(
+    f"with h as (select vec_id, embedding, list_transform(range(4), o -> tanh({_UNIT.format(n=64, k=0, x='embedding')})) as h from embeddings),"
+    f" r as (select vec_id, embedding, h, list_transform(range(64), o -> {_UNIT.format(n=4, k=1, x='h')}) as r from h)"
+    " select vec_id as id, round(h[1], 6) as h0, round(h[4], 6) as h3,"
+    " round(list_sum(list_transform(range(64), i -> pow(r[i + 1] - embedding[i + 1]::double, 2))) / 64, 6) as loss from r".replace("i ->", "lambda i:").replace("o ->", "lambda o:")
+)
+def reconstruction_loss(spark, d):
+    """An encoder and a decoder read back from their table of weights, and the squared error of what they give."""
+    layers = latent.read_layers(latent.layers_table(spark, _dense([64, 4, 64])))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    out = latent.forward(latent.forward(e, layers[:1], [F.tanh], "x", "h"), layers[1:], [None], "h", "r")
+    loss = F.aggregate(F.zip_with("r", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / 64
+    return out.select("id", F.round(F.get("h", F.lit(0)), 6).alias("h0"), F.round(F.get("h", F.lit(3)), 6).alias("h3"), F.round(loss, 6).alias("loss"))
 
 
 @query("select vec_id as id, round(0.5 * embedding[1]::double - embedding[2]::double + 0.25, 6) as lat0, round(embedding[3]::double + 2 * embedding[4]::double, 6) as lat1 from embeddings")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenweft.operators import series as S
-from lumenweft.plans.catalog import query
+from lumenweft.plans.catalog import oracles, query
 from lumenweft.plans.inputs import RECORDINGS, SERIES, recordings, seconds, series
 from lumenweft.sources.tables import table
 
@@ -250,6 +250,77 @@ def components_excluded(spark, d):
     return out.withColumn("value", F.round(F.col("value") / 1e6, 4))
 
 
+@query(f"select win, w from ({oracles()['sliding_connectivity']}) where i = 'click' and j = 'view'")
+def connectivity_edge_series(spark, d):
+    """One edge's connectivity over the windows; the filter reaches the series before they meet."""
+    return sliding_connectivity(spark, d).filter("i = 'click' and j = 'view'").select("win", "w")
+
+
+@query(f"select t, round(v, 4) as value from (select dense_rank() over (order by node) - 1 as component, t, v from {SERIES}) where component = 2")
+def component_series(spark, d):
+    """The series of one component."""
+    s = series(spark, d)
+    names = s.select("node").distinct().withColumn("component", F.row_number().over(Window.orderBy("node")) - 1)  # one row per event type
+    return s.join(names.filter("component = 2"), "node").select("t", F.round("v", 4).alias("value"))
+
+
+EPOCHS = f"(select node as channel, t // 30 as epoch, t % 30 as t_in, v as value, count(*) over (partition by node, t // 30) as n from {SERIES})"
+
+
+@query(f"select a.epoch::int as epoch, a.channel as i, b.channel as j, round(case when stddev_pop(a.value) > 0 and stddev_pop(b.value) > 0 then corr(a.value, b.value) end, 6) as w from {EPOCHS} a join {EPOCHS} b on a.epoch = b.epoch and a.t_in = b.t_in and a.channel < b.channel where a.n = 30 and b.n = 30 group by 1, 2, 3")
+def sensor_connectivity(spark, d):
+    """Connectivity of channels, with their names as labels, in each epoch."""
+    e = S.epochs(series(spark, d), 30, ["node"])
+    return S.correlations(e, "node", "t", "v", ["epoch"]).withColumn("w", R6("w"))
+
+
+LEVELS = [0.5, 0.7, 0.8, 0.9, 1.0]
+_SIX = f"(select * from (select node as channel, t // 6 as epoch, t % 6 as t_in, v as value, max(v) over e - min(v) over e as p, count(*) over e as n from {SERIES} window e as (partition by node, t // 6)) where n = 6)"
+_CHOSEN = (
+    f"(with x as (select *, epoch % 5 as f from {_SIX}), c as (select channel, unnest(quantile_cont(p, {LEVELS})) as threshold from (select distinct channel, epoch, p from x) group by 1),"
+    " k as (select channel, threshold, t_in, f, sum(value) as s, count(*) as n from x join c using (channel) where p <= threshold group by 1, 2, 3, 4),"
+    " a as (select channel, threshold, t_in, sum(s) as s, sum(n) as n from k group by 1, 2, 3), h as (select channel, t_in, f, quantile_cont(value, 0.5) as m from x group by 1, 2, 3),"
+    " o as (select h.channel, a.threshold, h.f, h.m, a.s - coalesce(k.s, 0) as s, a.n - coalesce(k.n, 0) as n from h join a on h.channel = a.channel and h.t_in = a.t_in"
+    " left join k on k.channel = h.channel and k.t_in = h.t_in and k.f = h.f and k.threshold = a.threshold),"
+    " l as (select channel, threshold, f, sqrt(avg(case when n > 0 then pow(s / n - m, 2) else 'inf'::double end)) as l from o group by 1, 2, 3)"
+    " select channel, arg_min(threshold, struct_pack(l := l, t := threshold)) as threshold from (select channel, threshold, avg(l) as l from l group by 1, 2) group by 1)"
+)
+
+
+def _six(spark, d):
+    e = S.epochs(series(spark, d), 6, ["node"])
+    return e.select(F.col("node").alias("channel"), "epoch", (F.col("t") % 6).cast("int").alias("t_in"), F.col("v").alias("value"))
+
+
+@query(f"select channel, round(threshold, 4) as threshold from {_CHOSEN}")
+def epoch_thresholds(spark, d):
+    """The peak-to-peak limit of each channel by cross-validation."""
+    return S.p2p_thresholds(_six(spark, d), LEVELS).withColumn("threshold", F.round("threshold", 4))
+
+
+@query(
+    f"with x as (select * from {_SIX}), l as (select channel, quantile_cont(p, 0.8) as threshold from (select distinct channel, epoch, p from x) group by 1), b as (select *, p > threshold as repaired from x join l using (channel)),"
+    " g as (select epoch, t_in, avg(value) as good from b where not repaired group by 1, 2)"
+    " select channel, b.epoch::int as epoch, b.t_in::int as t_in, repaired, round(case when repaired then good else value end, 4) as value from b left join g on g.epoch = b.epoch and g.t_in = b.t_in"
+)
+def epoch_repair(spark, d):
+    """The fifth of each channel's epochs with the largest peak-to-peak takes the mean of the channels within their limit."""
+    x = _six(spark, d)
+    return S.repair(x, S.p2p_levels(x, [0.8])).select("channel", "epoch", "t_in", "repaired", F.round("value", 4).alias("value"))
+
+
+@query(
+    "with v as (select p_partkey % 5 as x, p_partkey // 5 % 5 as y, p_partkey // 25 as z, p_size as v from part), g as (select x, y, z from (select unnest(range(6)) x), (select unnest(range(6)) y), (select unnest(range(8)) z)),"
+    " s as (select *, floor(0.5 * x + 0.25 * y + 1 + 0.5)::int as sx, floor(-0.25 * x + 0.5 * y + 2 + 0.5)::int as sy, floor(0.75 * z - 0.5 + 0.5)::int as sz from g)"
+    " select s.x::int as x, s.y::int as y, s.z::int as z, coalesce(v.v, 0)::int as value from s left join v on v.x = sx and v.y = sy and v.z = sz"
+)
+def affine_resample(spark, d):
+    """An image through a 3x4 affine, nearest voxels, on another grid."""
+    k = F.col("p_partkey")
+    v = table(spark, d, "part").select((k % 5).alias("x"), (F.floor(k / 5) % 5).alias("y"), F.floor(k / 25).alias("z"), F.col("p_size").cast("int").alias("value"))
+    return S.resample_affine(v, [[0.5, 0.25, 0, 1], [-0.25, 0.5, 0, 2], [0, 0, 0.75, -0.5]], (6, 6, 8))
+
+
 def _long(spark, d):
     return recordings(spark, d).select("subject", F.col("node").alias("channel"), "t", F.col("v").alias("value"))
 

@@ -1,4 +1,4 @@
-"""Readers and sinks: parquet tables, CSV files, UTF-16 questionnaires, .npy arrays."""
+"""Readers and sinks: parquet tables, CSV files, UTF-16 questionnaires, .npy arrays, NIfTI images."""
 
 from __future__ import annotations
 
@@ -50,6 +50,44 @@ def npy_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, "path string, i long, j long, value double")
 
 
+#: NumPy types by the datatype number of a NIfTI-1 header; fixed values of the format.
+NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+
+
+def nifti_volumes(content: bytes) -> Iterator[np.ndarray]:
+    """The three-dimensional volumes of a NIfTI-1 file (gzipped or not), scaled as its header says."""
+    import gzip
+    import struct
+
+    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    order = next((o for o in "<>" if len(data) >= 348 and struct.unpack(f"{o}i", data[:4])[0] == 348), None)
+    if order is None:
+        raise ValueError("not a NIfTI-1 file")
+    dim = struct.unpack(f"{order}8h", data[40:56])
+    code, (offset, slope, inter) = struct.unpack(f"{order}h", data[70:72])[0], struct.unpack(f"{order}3f", data[108:120])
+    if code not in NIFTI_TYPES:
+        raise ValueError(f"NIfTI datatype {code} isn't read")
+    shape = [max(1, d) for d in (list(dim[1 : 1 + dim[0]]) + [1, 1, 1])[:3]]
+    kind, size = np.dtype(order + NIFTI_TYPES[code]), int(np.prod(shape))
+    for k in range(int(np.prod([max(1, d) for d in dim[4 : 1 + dim[0]]]))):
+        volume = np.frombuffer(data, kind, size, int(offset) + k * size * kind.itemsize).reshape(shape, order="F").astype(np.float64)
+        yield volume * slope + inter if slope else volume
+
+
+def nifti_voxels(spark: SparkSession, folder: str, pattern: str = "*.nii*") -> DataFrame:
+    """path, t, x, y, z, value of the NIfTI files below a folder; a task holds one file and one volume's rows at a time."""
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"]):
+                for t, volume in enumerate(nifti_volumes(content)):
+                    x, y, z = np.indices(volume.shape)
+                    yield pd.DataFrame({"path": path, "t": t, "x": x.ravel(), "y": y.ravel(), "z": z.ravel(), "value": volume.ravel()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "content").mapInPandas(decode, "path string, t int, x int, y int, z int, value double")
+
+
 def write_resumable(df: DataFrame, path: str, *partitions: str) -> None:
     """Parquet, replacing only the partitions that ``df`` holds, so that a run that stopped can go on."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

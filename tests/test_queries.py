@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweft.functions.distributions import t_two_sided_p
-from lumenweft.operators import cohort, latent, series
+from lumenweft.operators import canonical, cohort, latent, search, series
 from lumenweft.plans import all_oracles, all_queries
 from lumenweft.sources import tables
 from lumenweft.streaming.windows import tumbling_mean
@@ -102,13 +102,94 @@ def test_band_pass_keeps_its_band(spark):
     assert np.allclose(got, np.sin(2 * np.pi * 5 * t / 100), atol=1e-9)
 
 
-def test_sparse_pair_finds_the_shared_signal():
+def _two_signals():
     r = np.random.default_rng(0)
-    z, x, y = r.normal(size=200), r.normal(size=(200, 5)), r.normal(size=(200, 4))
-    x[:, 2] += 3 * z
-    y[:, 1] -= 3 * z
-    a, b = latent.sparse_pair(x, y, 0.4, 0.4)
-    assert np.abs(a).argmax() == 2 and np.abs(b).argmax() == 1 and (a != 0).sum() == 1
+    z, x, y = r.normal(size=(300, 2)), r.normal(size=(300, 5)), r.normal(size=(300, 4))
+    x[:, 2] += 3 * z[:, 0]
+    y[:, 1] -= 3 * z[:, 0]
+    x[:, 4] += 1.5 * z[:, 1]
+    y[:, 3] += 1.5 * z[:, 1]
+    return x + 7, y * 10
+
+
+def test_sparse_pairs_find_the_shared_signals(spark):
+    """Weights on the signals alone; scores and loadings as from the projections; odd rows take no part."""
+    x, y = _two_signals()
+    odd = [(300, None, [1.0] * 4), (301, [1.0], [1.0] * 4), (302, [float("nan")] * 5, [1.0] * 4)]
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))] + odd, "id int, x array<double>, y array<double>").repartition(3)
+    model = canonical.fit(rows, 5, 4, 0.3, 0.9, 2)
+    assert np.abs(model.weights_x).argmax(0).tolist() == [2, 4] and np.abs(model.weights_y).argmax(0).tolist() == [1, 3]
+    assert (np.abs(model.weights_x[[0, 1, 3]]) < 1e-9).all()
+    got = {g.id: (g.u, g.v) for g in canonical.project(rows, model).collect()}
+    u, v = (np.array([got[i][k] for i in range(300)]) for k in (0, 1))
+    assert got[300][0] is None and got[301][0] is None and got[302][0] is None and got[300][1] is not None
+    for d in (0, 1):
+        assert model.score[d] == pytest.approx(np.corrcoef(u[:, d], v[:, d])[0, 1], abs=1e-9)
+        assert np.allclose(model.loadings_x[:, d], [np.corrcoef(x[:, i], u[:, d])[0, 1] for i in range(5)], atol=1e-9)
+    grid = canonical.grid_search(rows, 5, 4, [0.1, 0.9], [0.1, 0.9], [1, 2], 3).collect()
+    assert len(grid) == 8 and max(g.score for g in grid) > 0.8
+    none = canonical.fit(rows.limit(0), 5, 4, 0.1, 0.1, 2)
+    assert not none.weights_x.any() and not none.score.any()
+
+
+def test_cost_search_nears_the_least(spark):
+    out = search.one_plus_one(spark, {"a": (0.0, 4.0), "b": (-1.0, 1.0)}, lambda p: (p["a"] - 3) ** 2 + p["b"] ** 2 if p["a"] > 0.5 else float("nan"), 15, 4).toPandas()
+    assert len(out) == 60 and out["cost"].min() < 0.1 < out["cost"].iloc[0]
+    assert out[out["best"]]["cost"].is_monotonic_decreasing and out[out["best"]]["cost"].iloc[-1] == out["cost"].min()
+
+
+def test_layers_survive_their_table(spark, tmp_path):
+    r = np.random.default_rng(1)
+    layers = [(r.normal(size=(3, 5)), r.normal(size=3)), (r.normal(size=(2, 3)), r.normal(size=2))]
+    latent.layers_table(spark, layers).write.parquet(str(tmp_path / "w"))
+    back = latent.read_layers(spark.read.parquet(str(tmp_path / "w")))
+    assert all(np.array_equal(a, b) for one, two in zip(layers, back) for a, b in zip(one, two))
+    x = r.normal(size=(4, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(4, None)], "id int, x array<double>")
+    got = {g.id: g.out for g in latent.forward(rows, back, [F.tanh, None], "x", "out").collect()}
+    want = np.tanh(x @ layers[0][0].T + layers[0][1]) @ layers[1][0].T + layers[1][1]
+    assert np.allclose([got[i] for i in range(4)], want) and got[4] is None
+
+
+def test_nifti(spark, tmp_path):
+    """Both byte orders, plain and gzipped, scaled, with a time axis."""
+    import gzip
+    import struct
+
+    a = np.arange(24, dtype=np.int16).reshape(2, 3, 2, 2)
+    for name, order in (("a.nii", "<"), ("b.nii.gz", ">")):
+        head = bytearray(352)
+        head[0:4], head[40:56], head[70:72] = struct.pack(f"{order}i", 348), struct.pack(f"{order}8h", 4, 2, 3, 2, 2, 1, 1, 1), struct.pack(f"{order}h", 4)
+        head[108:120] = struct.pack(f"{order}3f", 352, 2, 1)
+        data = bytes(head) + a.astype(f"{order}i2").tobytes(order="F")
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    got = tables.nifti_voxels(spark, str(tmp_path)).collect()
+    assert len(got) == 48 and all(g.value == 2 * a[g.x, g.y, g.z, g.t] + 1 for g in got)
+    with pytest.raises(ValueError):
+        list(tables.nifti_volumes(b"no image"))
+
+
+def test_rank_block(spark):
+    r = np.random.default_rng(4)
+    x = pd.DataFrame({"id": range(60), "a": r.integers(0, 9, 60).astype(float), "b": r.normal(size=60), "c": 1.0})
+    x["d"] = x["a"] * 2 + r.normal(size=60)
+    rows = spark.createDataFrame([*x.itertuples(index=False, name=None), (60, None, 1.0, 1.0, 1.0)], "id int, a double, b double, c double, d double")
+    got = {(g.left, g.right): g for g in cohort.spearman_block(rows, "id", ["a", "c"], ["b", "d", "a"]).collect()}
+    assert got["a", "d"].rho == pytest.approx(x["a"].rank().corr(x["d"].rank())) and got["a", "d"].n == 60
+    assert got["a", "d"].p < 1e-6 < got["a", "b"].p <= 1 and got["c", "b"].rho is None and got["c", "b"].p is None and got["a", "a"].p == 0
+    empty = cohort.spearman_block(rows.limit(0), "id", ["a"], ["b"]).first()
+    assert (empty.n, empty.rho, empty.p) == (0, None, None)
+
+
+def test_repair(spark):
+    """A wild channel takes the others' mean where it is wild; alone it has nothing to take."""
+    cells = [(c, e, t, 1000.0 * t if (c, e) == ("w", 1) else float(t + k)) for k, c in enumerate("uvw") for e in (0, 1) for t in range(3)]
+    x = spark.createDataFrame(cells, "channel string, epoch int, t_in int, value double")
+    limits = spark.createDataFrame([(c, 10.0) for c in "uvw"], "channel string, threshold double")
+    got = {(g.channel, g.epoch, g.t_in): (g.repaired, g.value) for g in series.repair(x, limits).collect()}
+    assert len(got) == 18 and all(got["w", 1, t] == (True, t + 0.5) for t in range(3)) and got["w", 0, 1] == (False, 3.0)
+    alone = series.repair(x.filter("channel = 'w'"), limits).filter("repaired").collect()
+    assert len(alone) == 3 and all(g.value is None for g in alone)
 
 
 def test_sparse_components_drop_noise():
