@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenweft.operators import canonical, latent, search
+from lumenweft.operators import autoencoder, canonical, latent, search
 from lumenweft.plans.catalog import query
 from lumenweft.sources.tables import table
 from lumenweft.streaming.windows import tumbling_mean
@@ -123,3 +123,28 @@ def latent_traversal(spark, d):
     decoder = {"edge0": lambda c: F.tanh(0.5 * c["a"] - 0.25 * c["b"]), "edge1": lambda c: c["a"] * c["b"]}
     out = latent.traverse(z, ["a", "b"], "a", [-2, -1, 0, 1, 2], decoder)
     return out.select("id", "step", F.round("edge0", 6).alias("edge0"), (F.round("edge1", 6) + 0.0).alias("edge1"))
+
+
+def _cubes(spark, d):
+    """Embeddings as symmetric volumes of 4 x 4 x 4 between 0 and 1."""
+    e = F.transform("embedding", lambda v: 1 / (1 + F.exp(-v.cast("double"))))
+    swapped = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(e, ((i / 4).cast("int") % 4) * 16 + (i / 16).cast("int") * 4 + i % 4))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.zip_with(e, swapped, lambda a, b: (a + b) / 2).alias("x"))
+
+
+def _autoencoders(spark, d):
+    models = [autoencoder.new_model((4, 4, 4), k, (4, 8, 4)) for k in (2, 4)]
+    return models, autoencoder.train(_cubes(spark, d), models, epochs=3, batches=2, rate=0.005)
+
+
+@query()
+def autoencoder_training(spark, d):
+    """Mean loss by size of the bottleneck and epoch."""
+    return spark.createDataFrame(_autoencoders(spark, d)[1], "latents int, epoch int, loss double")
+
+
+@query()
+def autoencoder_codes(spark, d):
+    """Codes of all rows by the trained model, and how far what it gives is off."""
+    model = _autoencoders(spark, d)[0][0]
+    return autoencoder.reconstruct(autoencoder.encode(_cubes(spark, d), model), model).select("id", "mu", "logvar", "mse")

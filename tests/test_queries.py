@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenweft.functions.distributions import t_two_sided_p
-from lumenweft.operators import canonical, cohort, latent, search, series
+from lumenweft.operators import autoencoder, canonical, cohort, latent, search, series
 from lumenweft.plans import all_oracles, all_queries
 from lumenweft.sources import tables
 from lumenweft.streaming.windows import tumbling_mean
@@ -339,3 +339,79 @@ def test_streaming_windows(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("days").collect())) == sorted(map(tuple, tumbling_mean(spark.read.parquet(src), "1 day").collect()))
+
+
+@pytest.mark.parametrize("shape", [(4, 4, 4), (7, 7, 5)])
+def test_autoencoder_gradients(shape):
+    r = np.random.default_rng(1)
+    model = autoencoder.new_model(shape, 3, (2, 3, 2))
+    x, noise = r.random((2, *shape)), r.standard_normal((2, 3))
+    _, g = autoencoder.loss_and_gradients(model, x, noise, True)
+    for name, w in model.weights.items():
+        for at in r.integers(0, w.size, 3):
+            losses = []
+            for h in (1e-6, -1e-6):
+                w.flat[at] += h
+                losses.append(autoencoder.loss_and_gradients(model, x, noise, True)[0])
+                w.flat[at] -= h
+            assert g[name].flat[at] == pytest.approx((losses[0] - losses[1]) / 2e-6, rel=1e-4, abs=1e-8), name
+
+
+def _patterns(count):
+    """One of two patterns along the last axis, with noise."""
+    r = np.random.default_rng(2)
+    odd = np.indices((4, 4, 4))[2] % 2
+    x = np.array([np.where(odd == i % 2, 0.9, 0.1) for i in range(count)]) + r.normal(0, 0.02, (count, 4, 4, 4))
+    return (x + x.swapaxes(1, 2)) / 2
+
+
+def test_autoencoder_learns():
+    x, r = _patterns(32), np.random.default_rng(4)
+    model = autoencoder.new_model((4, 4, 4), 2, (4, 6, 4))
+    losses = []
+    for _ in range(300):
+        loss, g = autoencoder.loss_and_gradients(model, x, r.standard_normal((32, 2)), True)
+        losses.append(loss / 32)
+        autoencoder._adam(model, np.concatenate([g[n].ravel() for n in model.weights]) / 32, 0.005)
+    assert losses[0] > 0.3 and losses[-1] < 0.05
+
+
+def test_autoencoder_goes_on_from_a_checkpoint(spark, tmp_path):
+    x = _patterns(60)
+    rows = [(i, [float(v) for v in x[i].ravel()], "kept") for i in range(60)]
+    odd = [(60, None, "a"), (61, [0.5], "b"), (62, [float("nan")] * 64, "c"), (63, [None] * 64, "d")]
+    df = spark.createDataFrame(rows + odd, "id long, x array<double>, mu string")
+
+    def fresh():
+        return [autoencoder.new_model((4, 4, 4), k, (4, 6, 4)) for k in (1, 3)]
+
+    whole, stopped = fresh(), fresh()
+    history = autoencoder.train(df.repartition(5), whole, 6, 2, 0.02)
+    assert [h[:2] for h in history] == [(k, e) for e in range(1, 7) for k in (1, 3)]
+    one = autoencoder.new_model((4, 4, 4), 3, (4, 6, 4))
+    first = autoencoder.train(df.repartition(7), [one], 1, 1, 0.02)[0][2]
+    keys = [r.key for r in df.filter("id < 60").orderBy("id").select(F.xxhash64(F.lit(42), "id").alias("key")).collect()]
+    want = autoencoder.loss_and_gradients(autoencoder.new_model((4, 4, 4), 3, (4, 6, 4)), x, autoencoder._noise(np.array(keys), 1, 3), True)[0] / 60
+    assert first == pytest.approx(want, rel=1e-9)
+    path = f"file://{tmp_path}/models"
+    autoencoder.train(df.repartition(3), stopped, 3, 2, 0.02, save=path, every=3)
+    again = [autoencoder.load_model(spark, path, k) for k in (1, 3)]
+    assert [m.epochs for m in again] == [3, 3]
+    rest = autoencoder.train(df.repartition(2), again, 3, 2, 0.02)
+    assert rest[-1][2] == pytest.approx(history[-1][2], rel=1e-6)
+    for name, w in whole[1].weights.items():
+        np.testing.assert_allclose(again[1].weights[name], w, rtol=1e-5, atol=1e-8)
+    coded = autoencoder.reconstruct(autoencoder.encode(df, whole[1]), whole[1]).collect()
+    assert len(coded) == 64 and all((r.mse is None) == (r.id >= 60) for r in coded)
+    assert all(len(r.mu) == 3 and len(r.logvar) == 3 and len(r.predicted) == 64 for r in coded if r.id < 60)
+    moved = autoencoder.traverse(whole[1], np.zeros(3), 0, np.linspace(-2, 2, 5))
+    assert moved.shape == (5, 4, 4, 4) and np.allclose(moved[2], 0) and np.abs(moved[0]).max() > 0
+
+
+def test_autoencoder_over_no_rows(spark):
+    empty = spark.createDataFrame([], "id long, x array<double>")
+    model = autoencoder.new_model((4, 4, 4), 2, (2, 2, 2))
+    was = {n: w.copy() for n, w in model.weights.items()}
+    assert np.isnan(autoencoder.train(empty, [model], 1)[0][2])
+    assert all((model.weights[n] == w).all() for n, w in was.items())
+    assert autoencoder.encode(empty, model).count() == 0
