@@ -136,9 +136,39 @@ def pairs(spark, d):
     return a.join(b, F.col("i") < F.col("j")).select("first", "second")
 
 
-@query("select item_id, n_name from benchmark join nation on item_id % 25 = n_nationkey")
+@query(
+    "with named as (select n_name, row_number() over (order by n_name) - 1 as num_index from nation)"
+    " select item_id, n_name from benchmark join named on item_id % (select count(*) from nation) = num_index"
+)
 def gather_by_index(spark, d):
-    return table(spark, d, "benchmark").withColumn("k", (F.col("item_id") % 25).cast("int")).join(table(spark, d, "nation"), F.col("k") == F.col("n_nationkey")).select("item_id", "n_name")
+    """Rows taken by the ordinal that a table of names stores."""
+    named = with_row_index(spark, d)
+    wanted = table(spark, d, "benchmark").crossJoin(named.agg(F.count("*").alias("n"))).select("item_id", (F.col("item_id") % F.col("n")).cast("int").alias("num_index"))
+    return wanted.join(named, "num_index").select("item_id", "n_name")
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
+def column_slice(spark, d):
+    """The first three columns by position, resolved to names."""
+    orders = table(spark, d, "orders")
+    return orders.select(orders.columns[:3])
+
+
+@query("select event_id, event_type, value from events where event_type in (select event_type from events group by 1 having avg(value) > (select avg(value) from events))")
+def channel_allow_list(spark, d):
+    """Rows of the channels on a list that is itself a table."""
+    events = table(spark, d, "events")
+    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    listed = means.crossJoin(events.agg(F.avg("value").alias("all"))).filter("mean > all").select("event_type")
+    return events.join(listed, "event_type", "left_semi").select("event_id", "event_type", "value")
+
+
+@query("select 'nation' as kind, n_name as label, n_regionkey as dims from nation union all select 'dim', 'dim_' || i, i from (select unnest(range(5))::int as i)")
+def label_union(spark, d):
+    """Region labels and one label per dimension in one list."""
+    names = table(spark, d, "nation").select(F.lit("nation").alias("kind"), F.col("n_name").alias("label"), F.col("n_regionkey").cast("int").alias("dims"))
+    dims = spark.range(5).select(F.lit("dim").alias("kind"), F.format_string("dim_%d", "id").alias("label"), F.col("id").cast("int").alias("dims"))
+    return names.unionByName(dims)
 
 
 @query("select source, lang, count(doc_id) as doc_id, count(text) as text, count(n_chars) as n_chars from documents group by 1, 2")

@@ -360,3 +360,16 @@ def clean_series(spark, d):
 def intensity_mask(spark, d):
     p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").cast("double").alias("v"))
     return S.intensity_mask(p, ["p_brand"], "v").select("p_partkey", "inside")
+
+
+@query(
+    f"with e as (select node, t // 30 as epoch, t % 30 as t_in, v from {SERIES}), w as (select a.epoch, a.node as i, b.node as j, corr(a.v, b.v) as w"
+    " from e a join e b on a.epoch = b.epoch and a.t_in = b.t_in and a.node < b.node group by 1, 2, 3 having count(*) = 30)"
+    " select i, j, row_number() over (partition by i, j order by epoch) - 1 as at, round(w, 6) as w from w where w is not null and not isnan(w)"
+)
+def concat_matrices(spark, d):
+    """One connectivity matrix per epoch, put behind each other along a new axis."""
+    parts = S.epochs(series(spark, d), 30, ["node"])
+    edges = S.correlations(parts, "node", "t", "v", ["epoch"]).filter("w is not null and not isnan(w)")
+    at = F.row_number().over(Window.partitionBy("i", "j").orderBy("epoch")) - 1
+    return edges.select("i", "j", at.alias("at"), R6("w").alias("w"))
