@@ -6,7 +6,7 @@ uniform b, all drawn from the term alone; with t = floor(ln w / r + b) and
 a = c * exp(-r * (t - b) - r) the sample is the (term, t) of smallest a. Two texts agree in
 a sample with probability equal to their generalised Jaccard similarity sum min / sum max.
 The variates of a term are uniforms hashed from the whole term and the sample's number (gamma: -ln(u1 * u2)),
-drawn for a block of terms at a time, so there is no table and terms don't share variates however long a text is.
+drawn anew for each group of texts, so there is no table and terms don't share variates however long a text is.
 A fingerprint is m samples of four hex digits each.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from lumenweft.llm._shared import LOWER, U64, Scratch, mix64, row_bounds, sliding_hash, span_hashes, utf8, word_spans
 
 SAMPLES = 64
-#: Terms whose variates are drawn at a time.
-BLOCK = 1024
+#: Terms whose variates are drawn at a time, and those of neighbouring texts that are held at a time.
+BLOCK, TOGETHER = 1024, 32768
 _STEP = U64(0xD1342543DE82EF95)
 
 
@@ -80,39 +80,75 @@ def weighted_terms(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndar
         lone = np.array([words[bounds[i]] if bounds[i + 1] > bounds[i] else U64(off[i + 1] - off[i]) for i in few], U64)
         some = (off[few + 1] - off[few]) > 0
         of, grams = np.concatenate([of, few[some]]), np.concatenate([grams, lone[some]])
-    order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
+        order = np.argsort(of, kind="stable")
+        of, grams = of[order], grams[order]
+    to = row_bounds(of, rows)
+    for i in np.flatnonzero(np.diff(to) > 1):  # row by row: a sort of plain numbers is far quicker than one by two keys
+        grams[to[i] : to[i + 1]].sort()
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
     at = np.flatnonzero(new)
     return grams[at], np.diff(at, append=len(of)), row_bounds(of[at], rows)
 
 
+def _drawn(terms: np.ndarray, m: int):
+    """The variates of many terms, drawn a block at a time."""
+    out = tuple(np.empty((len(terms), m), np.float32) for _ in range(3))
+    for lo in range(0, len(terms), BLOCK):
+        for whole, part in zip(out, _variates(terms[lo : lo + BLOCK], m)):
+            whole[lo : lo + BLOCK] = part
+    return out
+
+
+def _least(w: np.ndarray, r: np.ndarray, b: np.ndarray, a: np.ndarray, at: np.ndarray | None = None):
+    """Per sample the place of the smallest a among terms of weights ``w``, that a, and its t; term i's variates stand at ``at[i]`` (or i)."""
+    m = a.shape[1]
+    a = a.copy() if at is None else a[at]
+    many = np.flatnonzero(w > 1)  # else ln w is 0, so t is 0 as b is below 1
+    mine = many if at is None else at[many]
+    t = np.floor(np.log(w[many]).astype(np.float32)[:, None] / r[mine] + b[mine])
+    a[many] -= r[mine] * t
+    pick, cols, step = a.argmin(0), np.arange(m), np.zeros(m, U64)
+    if len(many):
+        where = np.full(len(w), -1)
+        where[many] = np.arange(len(many))
+        row = where[pick]
+        step = np.where(row >= 0, t[np.maximum(row, 0), cols], 0).astype(U64)
+    return pick, a[pick, cols], step
+
+
 def signatures(texts: pa.Array, m: int = SAMPLES) -> np.ndarray:
-    """uint16 samples, one row per text. Zeros stand for an empty text; no sample of a text is zero."""
+    """uint16 samples, one row per text. Zeros stand for an empty text; no sample of a text is zero.
+
+    Neighbouring texts are taken together, so that a term that several of them have is drawn once; a long text stands alone, in blocks.
+    """
     terms, count, bounds = weighted_terms(texts)
     out = np.zeros((len(bounds) - 1, m), np.uint16)
-    cols = np.arange(m)
-    for i in np.flatnonzero(np.diff(bounds)):
-        best_a, best, steps = np.full(m, np.inf, np.float32), np.zeros(m, U64), np.zeros(m, U64)
-        for lo in range(bounds[i], bounds[i + 1], BLOCK):
-            j = terms[lo : min(lo + BLOCK, bounds[i + 1])]
-            w = count[lo : lo + len(j)]
-            r, b, a = _variates(j, m)
-            many = np.flatnonzero(w > 1)  # else ln w is 0, so t is 0 as b is below 1
-            t = np.floor(np.log(w[many]).astype(np.float32)[:, None] / r[many] + b[many])
-            a[many] -= r[many] * t
-            pick = a.argmin(0)
-            step = np.zeros(m, U64)
-            if len(many):
-                where = np.full(len(j), -1)
-                where[many] = np.arange(len(many))
-                at = where[pick]
-                step = np.where(at >= 0, t[np.maximum(at, 0), cols], 0).astype(U64)
-            low = a[pick, cols]
-            new = low < best_a  # of equal ones the smallest term stays, whatever else is in the text
-            best_a[new], best[new], steps[new] = low[new], j[pick][new], step[new]
-        out[i] = (mix64(best ^ mix64(steps + U64(1))) >> U64(48)).astype(np.uint16) | np.uint16(1)
+
+    def named(best: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        return (mix64(best ^ mix64(steps + U64(1))) >> U64(48)).astype(np.uint16) | np.uint16(1)
+
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + TOGETHER, side="right")) - 1)
+        lo, hi = bounds[first], bounds[last]
+        if hi - lo > TOGETHER:
+            best_a, best, steps = np.full(m, np.inf, np.float32), np.zeros(m, U64), np.zeros(m, U64)
+            for at in range(lo, hi, BLOCK):
+                j = terms[at : min(at + BLOCK, hi)]
+                pick, low, step = _least(count[at : at + len(j)], *_variates(j, m))
+                new = low < best_a  # of equal ones the smallest term stays, whatever else is in the text
+                best_a[new], best[new], steps[new] = low[new], j[pick][new], step[new]
+            out[first] = named(best, steps)
+        elif hi > lo:
+            own, at = np.unique(terms[lo:hi], return_inverse=True)
+            drawn = _drawn(own, m)
+            for i in range(first, last):
+                x, y = bounds[i], bounds[i + 1]
+                if y > x:
+                    pick, _, step = _least(count[x:y], *drawn, at[x - lo : y - lo])
+                    out[i] = named(terms[x:y][pick], step)
+        first = last
     return out
 
 
@@ -147,11 +183,11 @@ def edited(text: str, following: str) -> str:
 
 def _compare(ids: list, texts: list[str], following: list[str], m: int, id_type: pa.DataType) -> pa.RecordBatch:
     changed = [edited(a, b) for a, b in zip(texts, following)]
-    # Most following texts are the next row's own.
+    # Most following texts are the next row's own. A text stands beside its edited one, which has terms of it and of the next.
     shift = texts[1:] == following[:-1]
-    mine, other = (signatures(pa.array(x, pa.string()), m) for x in (texts + following[-1:] if shift else texts, changed))
-    then = mine[1:] if shift else signatures(pa.array(following, pa.string()), m)
-    mine = mine[: len(texts)]
+    both = signatures(pa.array([x for pair in zip(texts, changed) for x in pair] + (following[-1:] if shift else following), pa.string()), m)
+    mine, other = both[: 2 * len(texts) : 2], both[1 : 2 * len(texts) : 2]
+    then = np.concatenate([mine[1:], both[-1:]]) if shift else both[2 * len(texts) :]
     return pa.record_batch(
         [pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(_hex(mine)), pa.array(_hex(other)), pa.array(likeness(mine, other)), pa.array(likeness(mine, then))],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
