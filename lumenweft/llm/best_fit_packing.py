@@ -9,7 +9,9 @@ a piece of the full capacity is a sequence of its own.
 
 Scale. Tokens never move: a task turns texts into small piece rows, which are dealt
 by hash over packing tasks, each with its own bins. A task's memory is its open
-bins; the cost of splitting is at most the unfilled open bins of each task.
+bins; the cost of splitting is at most the unfilled open bins of each task. Items arrive in
+rounds dealt by hash, in each the longest first: a round has about as many items as bins may be open, so its short items
+still find the gaps that its long ones left. (With all of a task's items by length, bins would close before.)
 """
 
 from __future__ import annotations
@@ -125,9 +127,11 @@ def pack_documents(docs: DataFrame, scratch: Scratch, tokenizer: str, capacity:
     """
     pieces = scratch.table(token_pieces(docs, tokenizer, capacity), "pieces")
     small = pieces.filter(F.col("length") < capacity)
-    tasks = max(1, round(small.count() / ITEMS_PER_TASK))
+    items = small.count()
+    tasks = max(1, round(items / ITEMS_PER_TASK))
+    turn = F.pmod(F.xxhash64("piece", "ids_crc32", "row_tag"), F.lit(max(1, round(items / tasks / open_bins))))
     # The order inside a task follows from the rows, so a task that runs again packs alike.
-    dealt = small.repartition(tasks, F.xxhash64("row_tag", "piece", "length", "ids_crc32")).sortWithinPartitions(F.xxhash64("row_tag", "piece"), "ids_crc32")
+    dealt = small.repartition(tasks, F.xxhash64("row_tag", "piece", "length", "ids_crc32")).sortWithinPartitions(turn, F.desc("length"), F.xxhash64("row_tag", "piece"), "ids_crc32")
     packed = best_fit(dealt, capacity, open_bins)
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(whole).drop("row_tag")

@@ -332,6 +332,11 @@ def test_packing(spark, odd, none):
     assert best_fit_packing.cut_points(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
 
 
+def test_packing_nears_the_least_number_of_sequences(spark):
+    got = queries.op8_best_fit_packing(spark, "/root/testdata/sf0.01").select("length", "sequence_id").toPandas()
+    assert got.sequence_id.nunique() <= 1.005 * -(-got.length.sum() // 2048)
+
+
 def test_best_fit_closes_the_fullest():
     b = best_fit_packing.BestFit(10, 2)
     assert [b.place(n) for n in (6, 7, 4, 3)] == [(0, 0), (1, 0), (0, 6), (1, 7)]
