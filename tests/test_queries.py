@@ -314,6 +314,48 @@ def test_shrunk_correlations(spark):
     assert 0 < k < 1 and all(got[i, j] == pytest.approx(s[i, j] / np.sqrt(s[i, i] * s[j, j])) for i in range(p) for j in range(i + 1, p))
 
 
+def largest_join(plan):
+    """Rows out of the largest join of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return largest_join(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return largest_join(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0
+    return max([own, *(largest_join(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+
+def test_spike_counts_meet_in_blocks(spark, tmp_path):
+    """The rows of the SQL where neurons are null, constant or without times and days far apart; samples of a pair never become rows."""
+    r = np.random.default_rng(8)
+    spikes = [(int(u), f"2024-01-{d + 1:02d} 05:00:00") for u in range(-60, 60) for d in range(20) for _ in range(r.poisson(1.5))]
+    spikes += [(500, None), (None, "2023-12-30 01:00:00"), (None, None), (501, "2024-02-11 23:59:59")] + [(502, str(d)) for d in pd.date_range("2023-12-30", "2024-02-11")]
+    (tmp_path / "t").mkdir()
+    x = pd.DataFrame(spikes, columns=["user_id", "ts"]).astype({"user_id": "Int64", "ts": "datetime64[us]"})
+    x.to_parquet(str(tmp_path / "t" / "events.parquet"))
+    got = all_queries()["spike_corr"](spark, str(tmp_path / "t"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/t/events.parquet'")
+    rows = got.collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, con.sql(all_oracles()["spike_corr"]).fetchall())) and len(rows) == 123 * 122 // 2
+    assert largest_join(got._jdf.queryExecution().executedPlan()) < len(rows)
+
+
+def test_count_correlations(spark):
+    """Blocks and slices of days don't change results; large counts keep their digits; no rows give none."""
+    r = np.random.default_rng(9)
+    k = r.poisson(0.4, (40, 2500)) * r.integers(1, 5, (40, 1))
+    k[0] += 10_000_000
+    k[:, [0, -1]] = 1
+    rows = spark.createDataFrame([(int(i), int(t), int(k[i, t])) for i, t in zip(*np.nonzero(k))], "n int, t long, k long")
+    want = np.corrcoef(k.astype(float) - np.rint(k.mean(1, keepdims=True)))
+    for width, entries in ((2048, 1 << 20), (7, 1 << 20), (2048, 5000)):
+        got = series.count_correlations(rows, "n", "t", "k", width, entries).collect()
+        assert len(got) == len({(g.i, g.j) for g in got}) == 780 and all(g.i < g.j and g.w == pytest.approx(want[g.i, g.j], abs=1e-12) for g in got)
+    for none in (rows.limit(0), rows.limit(1), spark.createDataFrame([(1, None, 0), (2, None, 0)], "n int, t long, k long")):
+        assert series.count_correlations(none, "n", "t", "k").collect() == []
+
+
 def test_files_and_sinks(spark, tmp_path):
     """A listing, tables written again in part, and a table as CSV."""
     x = spark.createDataFrame([("a", 1, 1.5), ("b", 2, None)], "g string, k int, v double")
