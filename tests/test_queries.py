@@ -356,6 +356,30 @@ def test_count_correlations(spark):
         assert series.count_correlations(none, "n", "t", "k").collect() == []
 
 
+def shuffled(plan):
+    """Bytes that the exchanges of a plan that has run wrote."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if name == "Exchange" else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_blocks_are_packed_before_they_are_copied(spark):
+    """15 blocks in 120 pairs shuffle a few bytes for each sample, not each sample once a pair; packing keeps wide numbers and nodes without samples."""
+    rows = spark.range(18000).selectExpr("id % 300 as n", "id div 300 as t", "1 + pmod(hash(id), 5) as k")
+    got = series.count_correlations(rows, "n", "t", "k", 20)
+    edges = {(g.i, g.j): g.w for g in got.collect()}
+    k = np.array([r.k for r in rows.orderBy("n", "t").collect()], float).reshape(300, 60)
+    want = np.corrcoef(k)
+    assert len(edges) == 300 * 299 // 2 and all(w == pytest.approx(want[i, j], abs=1e-12) for (i, j), w in edges.items())
+    assert shuffled(got._jdf.queryExecution().executedPlan()) < 18000 * 50
+    wide = spark.createDataFrame([(-(2**40), 2**41, 2**20), (-(2**40), 2**41 + 2, 300), (7, 2**41, 1), (9, None, 0)], "n long, t long, k long")
+    assert {(g.i, g.j): round(g.w, 6) for g in series.count_correlations(wide, "n", "t", "k").filter("not isnan(w)").collect()} == {(-(2**40), 7): round(np.corrcoef([2**20, 0, 300], [1, 0, 0])[0, 1], 6)}
+
+
 def test_files_and_sinks(spark, tmp_path):
     """A listing, tables written again in part, and a table as CSV."""
     x = spark.createDataFrame([("a", 1, 1.5), ("b", 2, None)], "g string, k int, v double")
