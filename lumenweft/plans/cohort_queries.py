@@ -262,7 +262,8 @@ def spearman_block(spark, d):
     """Rank correlations between two blocks of columns, with p."""
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 7).alias("weekday"))
     out = cohort.spearman_block(s, "s_suppkey", ["balance", "nation"], ["key", "weekday"])
-    return out.select("left", "right", "n", R6("rho").alias("rho"), R6("p").alias("p"))
+    rho = F.signum("rho") * R6(F.abs("rho"))  # a small negative one becomes -0.0, as in the SQL
+    return out.select("left", "right", "n", rho.alias("rho"), R6("p").alias("p"))
 
 
 @query("select label, count(*) as n from embeddings group by 1")

@@ -1,5 +1,7 @@
 """Every registered query with SQL gives the rows of its SQL on DuckDB, and kernels give known answers."""
 
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -181,6 +183,30 @@ def test_rank_block(spark):
     assert (empty.n, empty.rho, empty.p) == (0, None, None)
 
 
+def test_rank_block_signs_and_long_series(spark, tmp_path):
+    """A rho that rounds to zero keeps its sign, as in the SQL; p beyond the 9999 terms of the SQL is that of the t density."""
+    r, n = np.random.default_rng(6), 300
+    key, balance = np.arange(n), np.random.default_rng(7).permutation(n)
+    off = lambda b: 4 * (key * b).sum() - n * (n - 1) ** 2
+    while off(balance) != -4:  # a rank correlation of -4.4e-7, the nearest to 0
+        i, j = r.integers(0, n, 2)
+        swapped = balance.copy()
+        swapped[[i, j]] = balance[[j, i]]
+        if abs(off(swapped) + 4) <= max(400, abs(off(balance) + 4)):
+            balance = swapped
+    (tmp_path / "t").mkdir()
+    pd.DataFrame({"s_suppkey": key, "s_nationkey": r.integers(0, 25, n), "s_acctbal": balance * 1.5}).to_parquet(str(tmp_path / "t" / "supplier.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view supplier as select * from '{tmp_path}/t/supplier.parquet'")
+    rows = sorted(map(str, map(tuple, all_queries()["spearman_block"](spark, str(tmp_path / "t")).collect())))
+    assert rows == sorted(map(str, con.sql(all_oracles()["spearman_block"]).fetchall())) and any("-0.0," in x for x in rows)
+    t, df = 0.3, 59998
+    h = np.linspace(0, t, 20001)
+    f = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(h * h / df))
+    want = 1 - 2 * t / 60000 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
+    assert spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df))).first()[0] == pytest.approx(want, abs=1e-8)
+
+
 def test_repair(spark):
     """A wild channel takes the others' mean where it is wild; alone it has nothing to take."""
     cells = [(c, e, t, 1000.0 * t if (c, e) == ("w", 1) else float(t + k)) for k, c in enumerate("uvw") for e in (0, 1) for t in range(3)]
